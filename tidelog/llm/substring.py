@@ -98,18 +98,16 @@ class Shared:
     """The Bloom filter of minimisers of two documents or more, in one segment per bucket."""
 
     def __init__(self, segments: dict[int, bytes], buckets: int):
-        self.shift, bits = K.U(64 - buckets.bit_length()), _segment_bits(buckets)
-        self.bits, self.data = bits, np.zeros((buckets, 1 << (bits - 3)), np.uint8)
+        self.bits = _segment_bits(buckets)
+        self.data = np.zeros((buckets, 1 << (self.bits - 3)), np.uint8)
         for b, z in segments.items():
             self.data[b] = np.frombuffer(zlib.decompress(z), np.uint8)
-        self.flat = K.Bloom(bits + buckets.bit_length() - 1, self.data.reshape(-1))
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        bucket, low = bucket_of(keys, self.data.shape[0]), K.Bloom(self.bits, self.data[0])
+        bucket, flat = bucket_of(keys, len(self.data)).astype(np.int64), self.data.reshape(-1)
         found = np.ones(len(keys), bool)
-        for s in low._spots(K.mix(keys)):
-            spot = (bucket.astype(np.int64) << (self.bits - 3)) + (s >> K.U(3)).astype(np.int64)
-            found &= (self.flat.data[spot] >> (s & K.U(7)).astype(np.uint8)) & 1 == 1
+        for s in K.Bloom(self.bits, self.data[0])._spots(K.mix(keys)):
+            found &= (flat[(bucket << (self.bits - 3)) + (s >> K.U(3)).astype(np.int64)] >> (s & K.U(7)).astype(np.uint8)) & 1 == 1
         return found
 
 
