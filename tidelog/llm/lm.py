@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .shared import partitions, table
+from .shared import table
 
 #: Documents of this remainder are never learned from; those of the other one weigh the estimates.
 FOLDS, TEST_FOLD, WEIGHT_FOLD = 7, 2, 6
 END, BEGIN = K.U(0xE4D0E4D0E4D0E4D1), K.U(0xBE61BE61BE61BE61)
 #: Steps of the histograms per natural log, the greatest code, and context buckets (powers of two).
 STEPS, CODES, BUCKETS = 8, 255, 32
+#: Text of a block.
+BLOCK_BYTES = 8_000_000
 
 
 def fold(key) -> int:
@@ -256,17 +258,18 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """
     spark = docs.sparkSession
     src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    blocks = max(FOLDS, 2 * partitions(spark))
-    buckets = 1 << max(5, (2 * partitions(spark) - 1).bit_length())
+    learned = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
+    row = src.agg(F.count_if(learned != TEST_FOLD).alias("a"), F.count_if(learned == WEIGHT_FOLD).alias("b"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
+    begins, begins_weighing = row["a"], row["b"]
+    # blocks and buckets follow the size of the corpus, so the strings between them stay worth sending
+    blocks = max(FOLDS, -(-row["size"] // BLOCK_BYTES))
+    buckets = 1 << min(24, max(5, (blocks - 1).bit_length()))
     sent = dealt(src, blocks).repartition("block").sortWithinPartitions("block", F.xxhash64("blob"))
     asked = sent.mapInArrow(_requests(buckets), "bucket int, kind int, block int, blob binary")
     replies = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_replies, "block int, kind int, bucket int, blob binary")
     replies = table(replies, "replies")
     totals = [np.frombuffer(r["blob"], np.int64) for r in replies.where("block = -1").select("blob").collect()]  # one row a bucket
     total, distinct, weighing = (int(sum(t[j] for t in totals)) for j in range(3))
-    learned = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
-    row = src.where("doc_id IS NOT NULL").agg(F.count_if(learned != TEST_FOLD).alias("a"), F.count_if(learned == WEIGHT_FOLD).alias("b")).first()
-    begins, begins_weighing = row["a"], row["b"]
     uniform = 1.0 / (distinct + 1)
 
     def weigh(_key, left: pa.Table, right: pa.Table) -> pa.Table:
