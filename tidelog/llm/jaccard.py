@@ -29,6 +29,8 @@ SHINGLE, PERCENT = 5, 80
 ORDERS = (0x0D1, 0x0D2, 0x0D3)
 #: A token of so many documents is common; a posting list of so many classes is looked at anew; so many tokens are listed.
 COMMON, LONG_LIST, MOST_COMMON, ROUNDS = 64, 1000, 1 << 19, 3
+#: Rounds of stars; pairs for each row that lists may still make before long ones give way.
+STARS, MOST_PAIRS = 3, 40
 FLUSH = 2_000_000
 BLOOM_BITS, SEGMENTS = 24, 16
 
@@ -108,7 +110,7 @@ def classes(docs: DataFrame, shift: int, k: int) -> tuple[DataFrame, np.ndarray]
             for u in shingle_sets(data, offs, k):
                 n.append(len(u))
                 cls.append(set_hash(u) if len(u) else None)
-                low = u[u < K.U(1 << 63)]
+                low = u[K.mix(u ^ K.U(ORDERS[0])) < K.U(1 << 63)]  # prefixes hold the low end of the first order
                 held.append(token_id(low, shift))
                 total += len(low)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([-1 - x for x in n], pa.int64()), pa.array(cls, pa.int64())], ["doc_id", "n", "cls"])
@@ -125,10 +127,10 @@ def classes(docs: DataFrame, shift: int, k: int) -> tuple[DataFrame, np.ndarray]
 
 
 def postings(docs: DataFrame, common: np.ndarray, buckets: int, k: int, percent: int) -> DataFrame:
-    """``(list, cls, centre, weight)``: prefix tokens of the first order held by two classes or more.
+    """``(list, cls, size, weight)``: prefix tokens of the first order held by two classes or more.
 
-    Tokens of a bucket with the same classes are one list of that weight; ``centre`` is its least class.
-    Rows with a null ``centre`` name tokens whose lists are long.
+    Tokens of a bucket with the same classes are one list of that weight and size. Rows with a null
+    ``weight`` name tokens whose lists are long.
     """
     shift = 64 - (buckets.bit_length() - 1) - 32
     held = docs.sparkSession.sparkContext.broadcast(common)
@@ -199,13 +201,13 @@ def postings(docs: DataFrame, common: np.ndarray, buckets: int, k: int, percent:
                 at = np.repeat(cut[f] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 for a in range(0, len(at), 200_000):
                     sl = slice(a, a + 200_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(K.signed(np.repeat(name[f], n)[sl])), pa.array(cls[at[sl]]), pa.array(np.repeat(cls[cut[f]], n)[sl]), pa.array(np.repeat(wt, n)[sl].astype(np.int64))], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(K.signed(np.repeat(name[f], n)[sl])), pa.array(cls[at[sl]]), pa.array(np.repeat(n, n)[sl].astype(np.int64)), pa.array(np.repeat(wt, n)[sl].astype(np.int64))], names)
             lots = more[size[more] > LONG_LIST]
             if len(lots):
                 ids = (K.U(bucket) << K.U(32)) | tok[cut[lots]].astype(K.U)
-                yield pa.RecordBatch.from_arrays([pa.array(K.signed(ids)), pa.array(size[lots].astype(np.int64)), pa.nulls(len(lots), pa.int64()), pa.nulls(len(lots), pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(K.signed(ids)), pa.nulls(len(lots), pa.int64()), pa.array(size[lots].astype(np.int64)), pa.nulls(len(lots), pa.int64())], names)
 
-        names = ["list", "cls", "centre", "weight"]
+        names = ["list", "cls", "size", "weight"]
         at, blobs = None, []
         for batch in batches:
             for b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -218,25 +220,40 @@ def postings(docs: DataFrame, common: np.ndarray, buckets: int, k: int, percent:
             yield from close(at, blobs)
 
     sent = docs.mapInArrow(send, "bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket")
-    return table(sent.mapInArrow(meet, "list long, cls long, centre long, weight long"), "postings")
+    return table(sent.mapInArrow(meet, "list long, cls long, size long, weight long"), "postings")
 
 
-def alike(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+class Shape:
+    """A set with its prefixes under the further orders, made once for all its partners."""
+
+    def __init__(self, u: np.ndarray, percent: int = PERCENT):
+        none = np.zeros(0, K.U)
+        self.set, self.percent = u, percent
+        self.fronts = [np.sort(prefix(u, seed, none, 0, percent)) for seed in ORDERS[1:]] if len(u) else []
+
+
+def alike(x: Shape, y: np.ndarray) -> bool:
     """Prefix filters under each further order, by the shared count that similar sets cannot miss, then the exact test."""
-    na, nb = len(a), len(b)
+    na, nb, percent = len(x.set), len(y), x.percent
     if not na or not nb or 100 * min(na, nb) < percent * max(na, nb):
         return False
     least = -(-percent * (na + nb) // (100 + percent))
     none = np.zeros(0, K.U)
-    for seed in ORDERS[1:]:
-        x, y = prefix(a, seed, none, 0, percent), prefix(b, seed, none, 0, percent)
-        shared = len(np.intersect1d(x, y, assume_unique=True))
-        if shared < max(1, min(len(x) - (na - least), len(y) - (nb - least))):
+    for seed, front in zip(ORDERS[1:], x.fronts, strict=True):
+        other = prefix(y, seed, none, 0, percent)
+        shared = _common(front, other)
+        if shared < max(1, min(len(front) - (na - least), len(other) - (nb - least))):
             return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    both = _common(x.set, y)
     return 100 * both >= percent * (na + nb - both)
 
 
+def _common(sorted_: np.ndarray, other: np.ndarray) -> int:
+    j = np.searchsorted(sorted_, other)
+    j[j == len(sorted_)] = 0
+    return int(np.count_nonzero(sorted_[j] == other))
+
+
 def id_filter(ids: DataFrame) -> list[tuple[int, bytes]]:
     """A Bloom filter of a column of longs, of fixed size, built in segments by executors."""
 
@@ -294,8 +311,8 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, percent
                 ok = []
                 for i, u in enumerate(shingle_sets(data, offs, k)):
                     if a[i] != last:
-                        last, held = a[i], next(shingle_sets(*K.buffers(ta.slice(i, 1)), k))
-                    ok.append(alike(held, u, percent))
+                        last, held = a[i], Shape(next(shingle_sets(*K.buffers(ta.slice(i, 1)), k)), percent)
+                    ok.append(alike(held, u))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return table(rows.select("a", "b", "tb", "ta").mapInArrow(run, "a long, b long"), "links")
@@ -308,7 +325,11 @@ def _enough(pairs: DataFrame, percent: int) -> DataFrame:
     pa_, pb_ = na - F.ceil(percent * na / 100) + 1, nb - F.ceil(percent * nb / 100) + 1
     bound = F.least(pa_ - (na - least), pb_ - (nb - least))
     sizes = (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
-    return pairs.where(sizes & (F.col("shared") >= bound)).select("a", "b")
+    return pairs.where(sizes & (F.col("shared") >= bound))
+
+
+def _labelled(lists: DataFrame, found: DataFrame) -> DataFrame:
+    return lists.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("list", "cls", "n", "weight", F.coalesce("root", "cls").alias("label"))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -321,38 +342,54 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
     """
     spark = docs.sparkSession
     src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    buckets = 1 << min(20, max(6, (4 * partitions(spark) - 1).bit_length()))
+    buckets = 1 << min(20, max(6, (partitions(spark) - 1).bit_length()))
     shift = 64 - (buckets.bit_length() - 1) - 32
     rows, common = classes(src, shift, k)
     reps = table(rows.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "reps")
-    for _ in range(ROUNDS):
-        lists = postings(src, common, buckets, k, percent)
-        lots = lists.where("centre IS NULL").orderBy(F.desc("cls"), "list").limit(MOST_COMMON).select("list").collect()
+    size, rep = reps.select("cls", "n"), reps.select("cls", "doc_id")
+    none = spark.createDataFrame([], "a long, b long")
+    links, tried = none, none
+    found = spark.createDataFrame([], "node long, root long")
+    for last in (*[False] * (ROUNDS - 1), True):
+        made = postings(src, common, buckets, k, percent)
+        lists = made.where("weight IS NOT NULL")
+        # the class with most partners in all its lists heads each of them
+        heads = lists.groupBy("cls").agg(F.sum(F.col("weight") * F.col("size")).alias("pop")).join(size, "cls")
+        lists = table(lists.join(heads, "cls"), "lists")
+        tops = table(lists.groupBy("list").agg(F.max_by(F.struct("cls", "n"), F.struct("pop", "cls")).alias("t")), "tops")
+        for _ in range(STARS):
+            star = _labelled(lists, found).join(tops, "list").withColumn("a", F.col("t.cls"))
+            star = star.join(found.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").where("label <> coalesce(ra, a)")
+            star = star.groupBy("a", F.col("cls").alias("b")).agg(F.first("t.n").alias("na"), F.first("n").alias("nb"), F.sum("weight").alias("shared"))
+            # each class asks the one head it shares most with, of those not asked yet
+            star = _enough(star, percent).join(tried, ["a", "b"], "left_anti").groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
+            star = table(star, "star")
+            if star.isEmpty():
+                break
+            good = verified(src, star, rep, k, percent)
+            tried, links = tried.unionByName(star), links.unionByName(good)
+            if good.isEmpty():
+                break
+            found = components(links)
+        # what is still apart within a list is paired, unless long lists should first give way
+        at = table(_labelled(lists, found), "labelled")
+        parts = at.groupBy("list", "label").agg(F.count("*").alias("c"))
+        apart = parts.groupBy("list").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).where("pairs > 0")
+        apart = table(apart, "apart")
+        if last or (apart.agg(F.sum("pairs")).first()[0] or 0) <= MOST_PAIRS * rows.count():
+            break
+        lots = made.where("weight IS NULL").orderBy(F.desc("size"), "list").limit(MOST_COMMON).select("list").collect()
         late = np.union1d(common, K.unsigned(np.array([r[0] for r in lots], np.int64)))
         if len(late) == len(common):
             break
         common = late
-    lists = lists.where("centre IS NOT NULL")
-    size, rep = reps.select("cls", "n"), reps.select("cls", "doc_id")
-
-    # a star: each class with the centre it shares most prefix tokens with
-    star = lists.where("cls <> centre").groupBy("cls", "centre").agg(F.sum("weight").alias("shared"))
-    star = star.join(size.withColumnRenamed("n", "nb"), "cls").join(size.select(F.col("cls").alias("centre"), F.col("n").alias("na")), "centre")
-    star = star.groupBy("cls").agg(F.max_by(F.struct("centre", "na", "nb", "shared"), F.struct("shared", "centre")).alias("s"))
-    star = star.select(F.col("s.centre").alias("a"), F.col("cls").alias("b"), "s.na", "s.nb", "s.shared")
-    links = verified(src, _enough(star, percent), rep, k, percent)
-    found = components(links)
-
-    # what is still apart within a list: exact pairs, with the count of prefix tokens shared
-    at = lists.join(size, "cls").join(found.withColumnRenamed("node", "cls"), "cls", "left").select("list", "cls", "n", "weight", F.coalesce("root", "cls").alias("label"))
-    at = table(at, "labelled")
-    mixed = at.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("list")
-    at = at.join(mixed, "list", "left_semi")
+    at = at.join(apart.select("list"), "list", "left_semi")
     x = at.select("list", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), "weight")
     y = at.select("list", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     near = x.join(y, "list").where(f"a < b AND la <> lb AND 100 * na >= {percent} * nb AND 100 * nb >= {percent} * na")
-    apart = near.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("weight").alias("shared"))
-    more = verified(src, _enough(apart, percent), rep, k, percent)
+    near = near.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("weight").alias("shared"))
+    both = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    more = verified(src, _enough(near, percent).select("a", "b").join(both, ["a", "b"], "left_anti"), rep, k, percent)
     if not more.isEmpty():
         found = components(links.unionByName(more))
 

@@ -188,7 +188,7 @@ def shared_minimisers(docs: DataFrame, k: int, m: int, common: np.ndarray, bucke
 def repeated_ranges(docs: DataFrame, k: int = WINDOW, m: int = MMER) -> DataFrame:
     """``(doc_id, ranges)``: word ranges [start, end) covered by windows that a smaller document starts too."""
     spark = docs.sparkSession
-    buckets = 1 << max(4, (4 * partitions(spark) - 1).bit_length())
+    buckets = 1 << max(6, (partitions(spark) - 1).bit_length())
     buckets = min(buckets, 1 << (BLOOM_BITS - 10))
     segments, common = shared_minimisers(docs, k, m, np.zeros(0, K.U), buckets)
     if len(common):
