@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embeddings, html, jaccard, lm, packing, quality, sharding, substring
+from . import embeddings, html, jaccard, lm, oracles, packing, preferences, quality, segmentation, sharding, substring
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,25 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_read(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
+def op2_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2n and 2n + 1 are the chosen and the rejected side of pair n; mask spans as text."""
+    turns = _read(spark, sf_dir, "conversations").select(F.expr("conv_id div 2").alias("pair_id"), F.pmod("conv_id", F.lit(2)).alias("side"), "turn", "role", "text")
+    made = preferences.format_pairs(turns)
+
+    def spans(c: str):
+        return F.array_join(F.transform(c, lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), ",")
+
+    return made.select("pair_id", "n_prompt_turns", "prompt", "chosen", spans("chosen_mask").alias("chosen_spans"), "rejected", spans("rejected_mask").alias("rejected_spans"))
+
+
+def op3_sampled_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four distinct segmentations of every turn; ids as their checksum, and whether they decode to the text."""
+    turns = _read(spark, sf_dir, "conversations")
+    made = segmentation.decode(segmentation.encode_sampled(turns.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("text", F.lit("")).alias("said")), ["conv_id", "turn", "said"], k=4))
+    ids = F.crc32(F.array_join("ids", " ").cast("binary"))
+    return made.select("conv_id", "turn", "sample", F.size("ids").alias("n_ids"), ids.alias("ids_crc32"), "log_prob", "perturbed", "inclusion", (F.col("decoded") == F.col("said")).alias("round_trip"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_read(spark, sf_dir, "documents"), k=5, percent=80)
 
@@ -47,6 +67,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_preference_formatting": op2_preference_formatting,
+    "op3_sampled_segmentation": op3_sampled_segmentation,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_embedding_dedup": op6_embedding_dedup,
@@ -56,4 +78,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
