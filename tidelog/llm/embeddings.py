@@ -201,7 +201,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     total = same.count()
     if not total:
         return src.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    lists = int(min(1024, max(16, total**0.5)))
+    lists = int(min(1024, max(8, total**0.5 / 8)))
     fitted = {}
     for r in same.select(F.size("v").alias("d")).distinct().collect():
         sample = same.where(F.size("v") == r["d"]).orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).select(scaled.alias("v")).collect()  # SAMPLE rows at most
