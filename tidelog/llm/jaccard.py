@@ -31,6 +31,8 @@ ORDERS = (0x0D1, 0x0D2, 0x0D3)
 COMMON, LONG_LIST, MOST_COMMON, ROUNDS = 64, 1000, 1 << 19, 3
 #: Rounds of stars; pairs for each row that lists may still make before long ones give way.
 STARS, MOST_PAIRS = 3, 40
+#: Classes of a packed piece of a list.
+PIECE = 256
 FLUSH = 2_000_000
 BLOOM_BITS, SEGMENTS = 24, 16
 
@@ -332,6 +334,55 @@ def _labelled(lists: DataFrame, found: DataFrame) -> DataFrame:
     return lists.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("list", "cls", "n", "weight", F.coalesce("root", "cls").alias("label"))
 
 
+def _askers(at: DataFrame, found: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of classes that are apart and share enough prefix tokens over all lists.
+
+    Components are ordered by size, the same in every list: the class of the smaller one asks, so a pair is counted on one side. Each
+    asker gets the classes of a list in packed pieces, so a list costs rows in proportion to those who
+    ask. All of an asker's pieces meet and are counted there.
+    """
+    mass = found.groupBy(F.col("root").alias("label")).agg(F.count("*").alias("mass"))
+    mixed = at.join(apart.select("list"), "list", "left_semi").join(mass, "label", "left").withColumn("mass", F.coalesce("mass", F.lit(1)).cast("long"))
+    mixed = table(mixed.select("list", "cls", "n", "weight", "label", "mass"), "mixed")
+    top = mixed.groupBy("list").agg(F.max(F.struct("mass", "label")).alias("top"), F.count("*").alias("size"))
+    mixed = mixed.join(table(top, "top"), "list")
+    piece = F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / PIECE))
+    packed = mixed.groupBy("list", piece.alias("piece")).agg(F.collect_list(F.struct("cls", "n", "label", "mass")).alias("m"))
+    rows = mixed.where("label <> top.label").select("list", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), "weight", F.col("mass").alias("ma"))
+    rows = rows.join(packed.select("list", "m"), "list").drop("list").repartition("a").sortWithinPartitions("a")
+
+    def count(batches):
+        a, na, la, ma, held = None, 0, 0, 0, []
+
+        def close():
+            cls, n, label, mass, w = (np.concatenate(c) for c in zip(*held, strict=True))
+            ok = ((mass > ma) | (mass == ma) & (label > la)) & (100 * n >= percent * na) & (100 * na >= percent * n)
+            got, first, at_ = np.unique(cls[ok], return_index=True, return_inverse=True)
+            shared, nb = np.bincount(at_, w[ok], len(got)), n[ok][first]
+            least = -(-percent * (na + nb) // (100 + percent))
+            fa, fb = na - needed(na, percent) + 1, nb - (-(-percent * nb // 100)) + 1
+            got = got[shared >= np.minimum(fa - (na - least), fb - (nb - least))]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(got, a)), pa.array(np.maximum(got, a))], ["a", "b"])
+
+        for batch in batches:
+            who, size, label, weight, heft = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            lists = batch.column(5)
+            offs, flat = lists.offsets.to_numpy(), lists.values
+            fields = [flat.field(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            edges = np.flatnonzero(np.r_[True, who[1:] != who[:-1], True]) if len(who) else []
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if held and int(who[lo]) != a:
+                    yield close()
+                    held = []
+                a, na, la, ma = int(who[lo]), int(size[lo]), int(label[lo]), int(heft[lo])
+                s = slice(offs[lo], offs[hi])
+                held.append((*(x[s] for x in fields), np.repeat(weight[lo:hi], np.diff(offs[lo : hi + 1]))))
+        if held:
+            yield close()
+
+    return rows.mapInArrow(count, "a long, b long").distinct()
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs``, named as said whatever ``key`` is called.
 
@@ -383,13 +434,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
         if len(late) == len(common):
             break
         common = late
-    at = at.join(apart.select("list"), "list", "left_semi")
-    x = at.select("list", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), "weight")
-    y = at.select("list", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    near = x.join(y, "list").where(f"a < b AND la <> lb AND 100 * na >= {percent} * nb AND 100 * nb >= {percent} * na")
-    near = near.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("weight").alias("shared"))
+    near = _askers(at, found, apart, percent)
     both = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = verified(src, _enough(near, percent).select("a", "b").join(both, ["a", "b"], "left_anti"), rep, k, percent)
+    more = verified(src, near.join(both, ["a", "b"], "left_anti"), rep, k, percent)
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
