@@ -132,12 +132,12 @@ def transition(current: DataFrame, following: DataFrame, worker: int) -> DataFra
     ``(segment_id, problem)``: entries outside the worker's sealed set must stay; of the sealed set the
     earliest ids stay with generation + 1 and the rest go; nothing new appears.
     """
-    kept = following.join(current.where((F.col("owner") != worker) | (F.col("role") != "sealed")).select("segment_id"), "segment_id", "left_semi").count()
-    outputs = following.count() - kept
+    mine = (F.col("owner") == worker) & (F.col("role") == "sealed")
+    others = current.where(~mine).select("segment_id", "generation", "owner", "role")
+    outputs = following.join(others.select("segment_id"), "segment_id", "left_anti").agg(F.count("*").alias("outputs"))
     rank = F.row_number().over(W.Window.partitionBy(F.lit(0)).orderBy("segment_id"))  # a catalog is small
-    sources = current.where((F.col("owner") == worker) & (F.col("role") == "sealed")).withColumn("rank", rank)
-    expected = sources.where(F.col("rank") <= outputs).select("segment_id", (F.col("generation") + 1).alias("generation"), "owner", "role")
-    expected = expected.unionByName(current.where((F.col("owner") != worker) | (F.col("role") != "sealed")).select("segment_id", "generation", "owner", "role"))
+    sources = current.where(mine).withColumn("rank", rank).crossJoin(F.broadcast(outputs))  # one row
+    expected = sources.where("rank <= outputs").select("segment_id", (F.col("generation") + 1).alias("generation"), "owner", "role").unionByName(others)
     a, b = expected.select("segment_id", F.struct("generation", "owner", "role").alias("x")), following.select("segment_id", F.struct("generation", "owner", "role").alias("y"))
     out = a.join(b, "segment_id", "full_outer").where(~F.col("x").eqNullSafe(F.col("y")))
     return out.select("segment_id", F.when(F.col("y").isNull(), "missing").when(F.col("x").isNull(), "unexpected").otherwise("changed").alias("problem"))

@@ -228,7 +228,7 @@ add("worker_count_choice", """SELECT i AS case_id, (CASE WHEN i % 6 = 0 THEN lea
   SELECT *, CASE WHEN c > i % 5 THEN c - i % 5 ELSE 1 END AS sp FROM (SELECT o_orderkey AS i, greatest(1, least(o_orderkey % 65, o_orderkey * 3 % 70)) AS c, CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE o_orderkey * 7919 % 4000000000 END AS mem FROM orders))""")
 add("hot_cache_admission", """SELECT shard, key, sequence, CASE WHEN b > 40 THEN 'value_too_large' WHEN n > 400 THEN 'entry_budget' WHEN s > 8000 THEN 'byte_budget' ELSE 'admitted' END AS status FROM (
   SELECT *, count(*) FILTER (WHERE b <= 40) OVER w AS n, coalesce(sum(b) FILTER (WHERE b <= 40) OVER w, 0) AS s FROM (SELECT *, strlen(value) AS b FROM sh WHERE value IS NOT NULL) WINDOW w AS (PARTITION BY shard ORDER BY sequence))""", EV, SH)
-add("live_key_limits", "SELECT w::INT AS worker, 1003 // 8 + (w < 1003 % 8)::INT AS key_limit FROM range(8) t(w)")
+add("live_key_limits", "SELECT w::INT AS worker, (1003 // 8 + (w < 1003 % 8)::INT)::BIGINT AS key_limit FROM range(8) t(w)")
 add("resource_limits", """SELECT resource, used, allowed, used > allowed AS exceeded FROM (SELECT 'segments' AS resource, count(DISTINCT segment_id) AS used, 64::BIGINT AS allowed FROM pk
   UNION ALL SELECT 'record_bytes', sum(size)::BIGINT, 2000000 FROM pk UNION ALL SELECT 'keys', count(DISTINCT key), 100 FROM pk)""", EV, PK)
 add("connection_timeouts", "SELECT connection, event_id, gap_ns FROM (SELECT user_id AS connection, event_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) * 1000 AS gap_ns FROM events) WHERE gap_ns >= 60000000000000")
@@ -244,7 +244,7 @@ add("foreground_p99", f"""SELECT count(*) AS samples, (SELECT hi FROM (VALUES (1
   WHERE (SELECT count(*) FROM sm WHERE ns <= hi) >= (SELECT count(*) - count(*) // 100 FROM sm) ORDER BY hi LIMIT 1)::BIGINT AS p99_ns FROM sm""", SM)
 add("stats_report", """SELECT event_type || x.s AS name, x.v AS value FROM (SELECT event_type, [{'s': '_last', 'v': arg_max(v, event_id)}, {'s': '_total', 'v': sum(v)::BIGINT}, {'s': '_max', 'v': max(v)}] AS l
   FROM (SELECT event_type, event_id, trunc(value * 100)::BIGINT AS v FROM events) GROUP BY event_type), unnest(l) t(x)""")
-add("bench_summary", "SELECT event_type, count(*) AS n, median(ns) AS median, quantile_disc(ns, 0.95) AS p95, quantile_disc(ns, 0.99) AS p99 FROM sm GROUP BY event_type", SM)
+add("bench_summary", "SELECT event_type, count(*) AS n, median(ns) AS median, quantile_disc(ns, 0.95)::DOUBLE AS p95, quantile_disc(ns, 0.99)::DOUBLE AS p99 FROM sm GROUP BY event_type", SM)
 add("stream_live", "SELECT key, value, sequence FROM idx WHERE opcode = 1", EV, IDX)
 add("stream_ttl", """SELECT e.key, e.sequence, CASE WHEN e.opcode = 1 THEN 'put' WHEN p.opcode = 1 AND NOT (p.expire_at_ns <> 0 AND p.expire_at_ns <= e.commit_ns) THEN 'erased' ELSE 'not_found' END AS outcome
   FROM ev e ASOF LEFT JOIN ev p ON p.key = e.key AND e.sequence > p.sequence""", EV)
