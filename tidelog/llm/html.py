@@ -234,7 +234,7 @@ def extract(pages: DataFrame, key: str = "page_id", html: str = "html", keep: li
     Null and empty pages, and pages without text, have an empty text. Repeated rows are extracted each;
     columns named like a result are replaced; an empty table gives no row.
     """
-    keep = [c for c in (keep if keep is not None else [c for c in pages.columns if c != html]) if c not in ("text", "n_chars")]
+    keep = [c for c in (keep if keep is not None else [c for c in pages.columns if c != html]) if c.lower() not in ("text", "n_chars")]
     src = pages.select(*keep, pages[html].alias("_h_html"))
 
     def run(batches):

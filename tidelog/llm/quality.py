@@ -172,15 +172,15 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     row's language and source exceeds the chi-square quantile for ODDS. Null languages and sources are groups of
     their own. Sources with under LEAST passing rows in a language are estimated together; a language
     whose rest is still under LEAST has no estimate, and its rows stand or fall by the base rules.
-    Repeated rows are judged each; an empty table gives none.
+    Repeated rows are judged each; an empty table gives none. An input column named like a result is replaced.
     """
-    keep = [c for c in (docs.columns if keep is None else keep)]
-    need = list(dict.fromkeys([*keep, lang, source, text]))
-    stats = base_statistics(docs.select(*need), text)
-    clash = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"}
-    keep = [c for c in keep if c not in clash]
-    drop = [c for c in need if c not in {*keep, lang, source}]
-    made = table(transformed(stats.drop(*drop), lang, source), "quality")
+    made_names = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"}
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made_names]
+    # names of its own inside, so that no column of the input meets a working one
+    own = {c: f"_k{i}" for i, c in enumerate(keep)}
+    src = docs.select(*(docs[c].alias(k) for c, k in own.items()), docs[lang].alias("_k_lang"), docs[source].alias("_k_source"), docs[text].alias("_k_text"))
+    stats = base_statistics(src, "_k_text").drop("_k_text")
+    made = table(transformed(stats, "_k_lang", "_k_source"), "quality")
     groups = _grouped(made)
     rows = made.where("NOT base_failed").join(groups, ["_g_lang", "_g_source"]).select("g", *SPREADS)
     model = estimates(rows)
@@ -188,6 +188,6 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     limit = chi_square_quantile(1 - 1 / ODDS, len(SPREADS))
     judged = made.join(by, ["_g_lang", "_g_source"], "left").withColumn("distance", distance())
     return judged.select(
-        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        *(F.col(k).alias(c) for c, k in own.items()), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~F.coalesce(F.col("distance") > limit, F.lit(False))).alias("kept"), "distance",
     )

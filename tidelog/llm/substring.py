@@ -322,7 +322,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WI
     Keys are whole numbers. An empty table gives no row. Result names replace columns of the same name.
     """
     made = ["n_words", "n_removed", "kept_sha256", "kept_text"]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
     src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ranges = repeated_ranges(src, k, m).withColumnRenamed("doc_id", "_s7_id").withColumnRenamed("ranges", "_s7_ranges")
     have = docs.select(*keep, F.col(key).cast("long").alias("_s7_key"), F.col(text).alias("_s7_text"))
