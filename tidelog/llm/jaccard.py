@@ -14,6 +14,7 @@ copies costs a star and not all pairs. Joins on a hot centre or list have a side
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -256,46 +257,45 @@ def _common(sorted_: np.ndarray, other: np.ndarray) -> int:
     return int(np.count_nonzero(sorted_[j] == other))
 
 
-def id_filter(ids: DataFrame) -> list[tuple[int, bytes]]:
-    """A Bloom filter of a column of longs, of fixed size, built in segments by executors."""
+def _segment(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(SEGMENTS)).cast("int")
+
+
+def id_filter(ids: DataFrame) -> dict[int, bytes]:
+    """A Bloom filter of the longs in ``doc_id``, of fixed size, in segments that executors build."""
 
     def build(batches):
         segs: dict[int, K.Bloom] = {}
         for batch in batches:
-            keys = K.mix(K.unsigned(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)))
-            for s in np.unique(keys >> K.U(60)):
-                segs.setdefault(int(s), K.Bloom(BLOOM_BITS - 4)).add(K.mix(keys[keys >> K.U(60) == s]))
+            of, keys = batch.column(0).to_numpy(), K.mix(K.unsigned(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)))
+            for s in np.unique(of):
+                segs.setdefault(int(s), K.Bloom(BLOOM_BITS - 4)).add(K.mix(keys[of == s]))
         if segs:
-            yield pa.RecordBatch.from_arrays([pa.array(list(segs), pa.int32()), pa.array([b.data.tobytes() for b in segs.values()], pa.binary())], ["s", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(segs), pa.int32()), pa.array([zlib.compress(b.data.tobytes(), 1) for b in segs.values()], pa.binary())], ["s", "bits"])
 
-    rows = ids.coalesce(SEGMENTS).mapInArrow(build, "s int, bits binary").collect()
-    found: dict[int, np.ndarray] = {}
-    for r in rows:
-        bits = np.frombuffer(r["bits"], np.uint8)
-        found[r["s"]] = bits if r["s"] not in found else found[r["s"]] | bits
-    return [(s, b.tobytes()) for s, b in found.items()]
+    rows = ids.select(_segment("doc_id").alias("s"), "doc_id").repartition(SEGMENTS, "s").mapInArrow(build, "s int, bits binary").collect()
+    return {r["s"]: bytes(r["bits"]) for r in rows}
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """``(cls, text)`` of the wanted ``(cls, doc_id)``; the filter keeps other texts out of the shuffle."""
-    held = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select("doc_id")))
+    held = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
 
     def run(batches):
-        segs = {s: K.Bloom(BLOOM_BITS - 4, np.frombuffer(b, np.uint8)) for s, b in held.value}
+        segs = {s: K.Bloom(BLOOM_BITS - 4, np.frombuffer(zlib.decompress(b), np.uint8)) for s, b in held.value.items()}
         for batch in batches:
-            ids = batch.column(0)
-            keys = K.mix(K.unsigned(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)))
-            ok = ids.is_valid().to_numpy(zero_copy_only=False)
+            ids, of = batch.column(0), batch.column(2).to_numpy()
+            keys = K.mix(K.unsigned(ids.to_numpy(zero_copy_only=False).astype(np.int64)))
             found = np.zeros(len(keys), bool)
             for s, b in segs.items():
-                at = np.flatnonzero(keys >> K.U(60) == K.U(s))
+                at = np.flatnonzero(of == s)
                 found[at] = b.has(K.mix(keys[at]))
-            sel = batch.filter(pa.array(found & ok))
-            for part, data, offs in K.chunks(iter([sel]), 1):
+            for part, data, offs in K.chunks(iter([batch.filter(pa.array(found))]), 1):
                 cls = [set_hash(u) if len(u) else None for u in shingle_sets(data, offs, k)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cls, pa.int64()), part.column(1)], ["doc_id", "cls", "text"])
 
-    return docs.mapInArrow(run, "doc_id long, cls long, text string").join(wanted, ["doc_id", "cls"]).select("cls", "text")
+    some = docs.where("doc_id IS NOT NULL").select("doc_id", "text", _segment("doc_id").alias("s"))
+    return some.mapInArrow(run, "doc_id long, cls long, text string").join(wanted, ["doc_id", "cls"]).select("cls", "text")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
