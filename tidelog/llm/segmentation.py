@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SAMPLES, THETA = 4, 1.0
-#: Words whose lattices a worker keeps.
-CACHE = 200_000
+#: Words whose lattices a worker keeps, about 10 KB each.
+CACHE = 16_000
 _UNIT = re.compile("▁+[^▁]*|[^▁]+")
 
 
@@ -59,7 +59,7 @@ class Lattices:
         self.cache: dict[str, list] = {}
 
     def word(self, unit: str) -> list:
-        """For each place of a word: cumulative probabilities, next places, ids, log-probabilities of its steps."""
+        """For each place of a word: cumulative probabilities, next places, ids and probabilities of its steps."""
         found = self.cache.get(unit)
         if found is not None:
             return found
@@ -88,7 +88,7 @@ class Lattices:
                 run += x / total
                 cum.append(run)
             cum[-1] = 1.0
-            table[a] = (cum, [s[0] for s in steps[a]], [s[1] for s in steps[a]], [x / total for x in e], [s[2] for s in steps[a]])
+            table[a] = (cum, [s[0] for s in steps[a]], [s[1] for s in steps[a]], [x / total for x in e])
         if len(self.cache) >= CACHE:
             self.cache.clear()
         self.cache[unit] = table
@@ -116,7 +116,7 @@ def _descend(tables: list, path: _Path, word: int, place: int, draws) -> None:
         table = tables[w]
         a, n = (place if w == word else 0), len(table)
         while a < n:
-            cum, nxt, pieces, p, _ = table[a]
+            cum, nxt, pieces, p = table[a]
             c = bisect_right(cum, next(draws)) if len(cum) > 1 else 0
             if c == len(cum):
                 c -= 1
@@ -168,7 +168,7 @@ def sample(lat: Lattices, text: str, k: int, seed: int) -> list[tuple[list[int],
     while heap and len(out) < k:
         minus, _, path, at, mass = heapq.heappop(heap)
         w, a, c = path.steps[at]
-        cum, nxt, pieces, p, _ = tables[w][a]
+        _, nxt, pieces, p = tables[w][a]
         taken = path.taken.setdefault(at, {c})
         open_ = [i for i in range(len(p)) if i not in taken]
         if not open_:
