@@ -5,7 +5,7 @@ import pytest
 from tidelog.plans.oracles import ORACLES
 from tidelog.plans.queries import QUERIES
 
-ROWS_ONLY = {"hash_siphash", "record_encode", "quota_admission", "batch_closes", "latency_guard", "rate_budget", "history_check"}
+ROWS_ONLY = {"hash_siphash", "record_encode", "quota_admission", "batch_closes", "latency_guard", "rate_budget", "history_check", "workload_zipf"}
 
 
 def test_every_query_has_sql_or_is_listed():

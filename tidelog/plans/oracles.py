@@ -251,3 +251,6 @@ add("stream_ttl", """SELECT e.key, e.sequence, CASE WHEN e.opcode = 1 THEN 'put'
 ESC = "(CASE WHEN strlen({c}) > 256 THEN array_to_string(list_transform(list_filter(range(1, length({c}) + 1), lambda i: strlen(substr({c}, 1, i)) <= 256), lambda i: substr({c}, i, 1)), '') || '...' ELSE {c} END)"
 add("audit_json", f"""SELECT conv_id, turn, strlen('{{"role":"","text":""}}' || r || t) AS bytes, true AS formed, strlen(text) > 256 AS is_cut FROM (SELECT *, {{esc_r}} AS r, {{esc_t}} AS t FROM conversations)""".replace("{esc_r}", "role").replace(
     "{esc_t}", "replace(replace(replace(replace(replace(" + ESC.format(c="text") + ", chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't')"))
+add("record_decode", "SELECT sequence, CASE WHEN sequence % 90 = 0 THEN 'bad_field' ELSE 'ok' END AS verdict, key, coalesce(value, '') AS value FROM ev", EV)
+add("wire_decode", """SELECT stream_id, id AS request_id, op AS opcode, key, CASE WHEN op = 'put' THEN value ELSE '' END AS value, CASE WHEN op = 'put' THEN expire_at_ns ELSE 0 END AS expire_at_ns, NULL::BIGINT AS target_worker, 'ok' AS status
+  FROM (SELECT *, split_part(key, ':', 2)::BIGINT AS stream_id, max(id) OVER (PARTITION BY key) AS last FROM rq WHERE op IN ('get', 'put', 'erase')) WHERE stream_id % 3 <> 0 OR id < last""", EV, RQ)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog import schema as S
+from tidelog.functions import codec as K
 from tidelog.functions import hashing as H
 from tidelog.functions import scalars as C
 from tidelog.operators import audit as A
@@ -224,14 +225,49 @@ def batch_grouping(spark, d):
 
 @query
 def record_encode(spark, d):
-    """Canonical record bytes of every event: size, and checksum of the bytes with the checksum field zero."""
-    hx = lambda c, n: F.lpad(F.hex(c), n, "0")
-    df = _shards(spark, d).withColumn("size", C.encoded_size(F.col("key"), F.col("value")))
-    value = F.coalesce("value", F.lit(""))
-    head = F.concat(hx(F.col("sequence"), 16), hx(F.col("opcode").cast("long"), 4), F.lit("0001"), F.lit("00000000"), F.upper("key_hash"), hx(F.col("expire_at_ns"), 16), hx(F.octet_length("key").cast("long"), 8), hx(F.octet_length(value).cast("long"), 8), hx(F.col("size"), 8), F.lit("00000000" * 2), F.lit("00000000"))
-    body = F.concat(head, F.hex(F.encode("key", "utf-8")), F.hex(F.encode(value, "utf-8")))
-    raw = F.unhex(F.rpad(body, (2 * F.col("size")).cast("int"), F.lit("0")))
-    return df.select("sequence", F.octet_length(raw).cast("long").alias("bytes"), H.crc32c_hex(raw).alias("checksum"))
+    """Canonical bytes of every event and their checksum."""
+    r = K.encode_records(_log(spark, d))
+    return r.select("sequence", F.octet_length("record").cast("long").alias("bytes"), H.crc32c_hex("record").alias("checksum"))
+
+
+@query
+def record_decode(spark, d):
+    """Bytes of every event read back; one byte of every ninetieth is flipped first."""
+    r = K.encode_records(_log(spark, d).withColumn("value", F.coalesce("value", F.lit(""))))
+    x = F.hex("record")
+    broken = F.unhex(F.concat(F.substring(x, 1, 100), F.when(F.substring(x, 101, 1) == "0", "1").otherwise("0"), F.substring(x, 102, 1_000_000)))
+    r = r.withColumn("record", F.when(F.pmod("sequence", F.lit(90)) == 0, broken).otherwise(F.col("record")))
+    return K.decode_records(r).select("sequence", F.col("decoded.verdict").alias("verdict"), F.col("decoded.key").alias("key"), F.col("decoded.value").alias("value"))
+
+
+@query
+def wire_decode(spark, d):
+    """Requests of each user as one byte stream of frames, decoded again; the last frame of a stream may be partial."""
+    hx = lambda c, n: _little(c, n)
+    r = _requests(spark, d).where("opcode IN ('get', 'put', 'erase')")
+    code = F.when(F.col("opcode") == "get", 3).when(F.col("opcode") == "put", 4).otherwise(5)
+    key, value = (F.hex(F.encode(F.coalesce(c, F.lit("")), "utf-8")) for c in ("key", "value"))
+    nk, nv = F.octet_length("key"), F.coalesce(F.octet_length("value"), F.lit(0))
+    frame = F.concat(hx(nk + nv + 40, 4), F.lit("0200"), hx(code, 1), F.lit("00"), hx(F.col("request_id"), 8), hx(nk, 4), hx(nv, 4), hx(F.col("expire_at_ns"), 8), F.lit("FFFFFFFF"), F.lit("00000000"), key, value)
+    parts = F.array_sort(F.collect_list(F.struct("request_id", frame.alias("f"))))
+    streams = r.groupBy("key").agg(F.array_join(F.transform(parts, lambda x: x["f"]), "").alias("h")).select(F.substring_index("key", ":", -1).cast("long").alias("stream_id"), F.unhex("h").alias("data"))
+    whole = streams.select("stream_id", F.when(F.pmod("stream_id", F.lit(3)) == 0, F.substring(F.col("data"), F.lit(1), F.octet_length("data") - 3)).otherwise(F.col("data")).alias("data"))
+    return K.decode_requests(whole)
+
+
+def _little(c, n: int):
+    """A whole number as n little-endian bytes in hex."""
+    h = F.lpad(F.hex(c.cast("long")), 2 * n, "0")
+    return F.concat(*(F.substring(h, 2 * i + 1, 2) for i in reversed(range(n))))
+
+
+@query
+def workload_zipf(spark, d):
+    """A benchmark workload as large as the event table, by worker."""
+    from tidelog.sources import workloads
+
+    n = logs.read(spark, d, "events").count()
+    return workloads.operations(spark, n, 4096, SHARDS, "zipf", seed=7).groupBy("worker").agg(F.count("*").alias("operations"), F.countDistinct("key").alias("keys"))
 
 
 @query
