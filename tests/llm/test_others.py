@@ -28,6 +28,13 @@ def test_html_keeps_the_article_only():
     assert html.main_text(None) == html.main_text("") == html.main_text("<p> </p>") == ""
 
 
+def test_html_class_of_a_wrapper_does_not_count_against_its_article():
+    inner = "<div class='layout sidebar-left'><article><h1>Head</h1><p>A text of some length, with commas, to be kept whole, whatever the wrapper is called.</p></article><div class='sidebar'>no</div></div>"
+    assert html.main_text(inner).startswith("Head A text") and "no" not in html.main_text(inner).split()
+    alone = "<div class='modal'><p>All there is on this page is in here, and it is long enough, so it is kept.</p></div>"
+    assert html.main_text(alone).startswith("All there is")
+
+
 def test_html_reads_broken_and_deep_pages_in_linear_time():
     for page in ("<div>" * 50_000, '<a "' * 50_000, "<p>" + "x, " * 200_000, "<header>" * 50_000, "<ul><li>" * 30_000, "<b>" * 30_000 + "</i>" * 30_000, "<" * 50_000):
         html.main_text(page)

@@ -23,6 +23,8 @@ _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 #: Ancestors a block's points reach; open elements looked at for an item that was left open.
 LEVELS, DEPTH = 5, 100
+#: How surely an element is not the article; characters that are enough for a page.
+SOFT, HARD, ENOUGH = 1, 2, 100
 
 # What HTML says of its elements.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -46,7 +48,7 @@ class Tree:
     """Elements in page order, and the stream of texts with their elements; a text of None is a break."""
 
     def __init__(self, page: str):
-        self.tag, self.parent, self.words, self.out, self.block, self.within = ["#root"], [0], [()], [False], [0], [False]
+        self.tag, self.parent, self.words, self.gone, self.block, self.within = ["#root"], [0], [()], [0], [0], [False]
         self.open: Counter[str] = Counter()
         self.p_at: list[int] = []
         self.stream: list[tuple[int, str | None]] = []
@@ -113,11 +115,11 @@ class Tree:
         if tag in VOID:
             return
         up = stack[-1]
-        words, gone = self._hints(tag, mark, at, up) if len(mark) > at + 1 else ((), self._never(tag, (), "", up))
+        words, gone = self._hints(tag, mark, at, up) if len(mark) > at + 1 else ((), self._against(tag, (), "", up))
         self.tag.append(tag)
         self.parent.append(up)
         self.words.append(words)
-        self.out.append(self.out[up] or gone)
+        self.gone.append(gone)
         self.block.append(self.block[up] if tag in INLINE else len(self.tag) - 1)
         self.within.append(self.within[up] or tag in ("article", "main"))
         if not (mark.endswith("/>") and tag in INLINE):
@@ -126,20 +128,38 @@ class Tree:
             self.open[tag] += 1
             stack.append(len(self.tag) - 1)
 
-    def _hints(self, tag: str, mark: str, at: int, up: int) -> tuple[tuple[str, ...], bool]:
+    def _hints(self, tag: str, mark: str, at: int, up: int) -> tuple[tuple[str, ...], int]:
         found = {a.lower(): (b or c or d) for a, b, c, d in _ATTRIBUTE.findall(mark, at)}
         words = tuple(w.lower() for w in _TOKEN.findall(f"{found.get('class', '')} {found.get('id', '')}"))
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-        return words, hidden or self._never(tag, words, found.get("role", "").lower(), up)
+        return words, HARD if hidden else self._against(tag, words, found.get("role", "").lower(), up)
 
-    def _never(self, tag: str, words: tuple[str, ...], role: str, up: int) -> bool:
+    def _against(self, tag: str, words: tuple[str, ...], role: str, up: int) -> int:
+        """Whether an element says that it is not the article: surely, by its class, or not."""
         if tag in ("html", "body", "main"):
-            return False
+            return 0
         if tag in NEVER or tag in RAW or role in NEVER_ROLES or any(w in COMMENTS for w in words):
-            return True
+            return HARD
         if tag == "header":  # the head of an article is its own
-            return not self.within[up]
-        return tag != "article" and any(w in AGAINST for w in words) and not any(w in FOR for w in words)
+            return 0 if self.within[up] else HARD
+        return SOFT if tag != "article" and any(w in AGAINST for w in words) and not any(w in FOR for w in words) else 0
+
+    def left_out(self) -> list[bool]:
+        """Elements outside the article. A class does not count against what holds an article, nor if nothing is left else."""
+        n = len(self.tag)
+        holds = [False] * n
+        for i in range(n - 1, 0, -1):
+            marked = self.gone[i] != HARD and (self.tag[i] in ("article", "main") or any(w in FOR for w in self.words[i]))
+            if (holds[i] or marked) and self.gone[i] != HARD:
+                holds[self.parent[i]] = True
+        for least in (SOFT, HARD):
+            out = [False] * n
+            for i in range(1, n):
+                out[i] = out[self.parent[i]] or self.gone[i] >= least and not (self.gone[i] == SOFT and holds[i])
+            seen = [(i, len(x.strip())) for i, x in self.stream if x is not None and not out[i]]
+            if sum(n for _, n in seen) >= ENOUGH or any(n and self.within[i] for i, n in seen):
+                break
+        return out
 
 
 def main_text(page: str | None) -> str:
@@ -147,6 +167,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     t = Tree(page)
+    t.out = t.left_out()
     n = len(t.tag)
     linked = [False] * n
     for i in range(1, n):
