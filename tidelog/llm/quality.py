@@ -27,7 +27,7 @@ ODDS = 1e8
 #: Words added to a row's own before a rate is taken, so that short texts don't scatter.
 PRIOR_WORDS = 100.0
 #: Transformed statistics and the least standard deviation each is given: nothing finer is told apart.
-SPREADS = {"x_len": 0.8, "x_char": 0.08, "x_sym": 0.5, "x_line": 0.6, "x_rep": 0.5}
+SPREADS = {"x_len": 0.8, "x_char": 0.08, "x_sym": 0.42, "x_line": 0.8, "x_rep": 0.7}
 
 
 def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
