@@ -184,7 +184,8 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     groups = _grouped(made)
     rows = made.where("NOT base_failed").join(groups, ["_g_lang", "_g_source"]).select("g", *SPREADS)
     model = estimates(rows)
-    by = groups.join(model, "g").drop("g")
+    # written, so that its size is known: below the broadcast threshold the rows, which may hold texts, are not shuffled by group
+    by = table(groups.join(model, "g").drop("g"), "models")
     limit = chi_square_quantile(1 - 1 / ODDS, len(SPREADS))
     judged = made.join(by, ["_g_lang", "_g_source"], "left").withColumn("distance", distance())
     return judged.select(
