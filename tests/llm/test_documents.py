@@ -107,6 +107,21 @@ def test_quality_rejects_outliers_of_a_group_and_keeps_the_rest(spark):
     assert not any(got[k] for k, *_ in rows if k >= 1000)
 
 
+@pytest.mark.parametrize("copies", [150, 210])
+def test_quality_rejects_junk_that_is_a_third_or_more_of_a_source(spark, copies):
+    import random
+
+    from tests.llm.conftest import prose
+
+    rng = random.Random(3)
+    rows = [(i, prose(rng, rng.randrange(30, 900)), "en", "s") for i in range(300)]
+    junk = " ".join(f"{w}*" for w in prose(rng, 150).split())
+    rows += [(1000 + i, junk, "en", "s") for i in range(copies)]
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[k] for k, *_ in rows if k < 1000)
+    assert not any(got[k] for k, *_ in rows if k >= 1000)
+
+
 def test_quality_estimate_is_the_robust_one(spark):
     """The estimate of clean rows hardly moves when a quarter is replaced by gross outliers."""
     rng = np.random.default_rng(0)

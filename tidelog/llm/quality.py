@@ -20,8 +20,8 @@ from .shared import table
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: Share of a group's rows that the estimate rests on, concentration steps, rows a group needs.
-SHARE, STEPS, LEAST = 0.75, 5, 50
+#: Share of a group's rows that the estimate rests on (half, so that it holds while fewer than half are outliers), concentration steps, rows a group needs.
+SHARE, STEPS, LEAST = 0.5, 5, 50
 #: A clean row is rejected once in so many, were the statistics normal.
 ODDS = 1e8
 #: Words added to a row's own before a rate is taken, so that short texts don't scatter.
