@@ -122,6 +122,23 @@ def test_quality_rejects_junk_that_is_a_third_or_more_of_a_source(spark, copies)
     assert not any(got[k] for k, *_ in rows if k >= 1000)
 
 
+def test_quality_rejects_a_text_for_repeated_lines_or_windows_alone(spark):
+    import random
+
+    from tests.llm.conftest import prose
+
+    rng = random.Random(4)
+    rows = [(i, prose(rng, rng.randrange(30, 900)), "en", "s") for i in range(300)]
+    lines = "\n".join(f"{prose(rng, 16)}\nnext page\nto top" for _ in range(15))
+    part = prose(rng, 48).replace("\n", " ")
+    windows = " ".join([prose(rng, 200), part, prose(rng, 200), part]).replace("\n", " ")
+    rows += [(1000, lines, "en", "s"), (1001, windows, "en", "s")]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[1000]["n_dup_lines"] >= 28 and got[1000]["n_repeat_words"] < 50 and got[1001]["n_dup_lines"] == 0 and got[1001]["n_repeat_words"] >= 90
+    assert not any(r["base_failed"] for r in got.values())
+    assert [k for k in sorted(got) if not got[k]["kept"]] == [1000, 1001]
+
+
 def test_quality_estimate_is_the_robust_one(spark):
     """The estimate of clean rows hardly moves when a quarter is replaced by gross outliers."""
     rng = np.random.default_rng(0)
