@@ -63,3 +63,47 @@ def test_history_check_finds_only_impossible_histories(spark):
     ]
     df = spark.createDataFrame(rows, "key string, id long, kind string, value string, seen string, call long, ret long")
     assert [r["key"] for r in folds.history_check(df).collect()] == ["bad"]
+
+
+def _explained(ops):
+    """Whether some order of all operations respects real time and explains the gets."""
+    from itertools import permutations
+
+    for order in permutations(ops):
+        if any(b[5] < a[4] for i, a in enumerate(order) for b in order[i + 1 :]):
+            continue
+        now = None
+        for kind, value, seen in (o[1:4] for o in order):
+            if kind == "get" and seen != now:
+                break
+            now = now if kind == "get" else value if kind == "put" else None
+        else:
+            return True
+    return False
+
+
+def test_history_check_equals_brute_force(spark):
+    import random
+
+    rng, rows = random.Random(1), []
+    for k in range(150):
+        for i in range(rng.randrange(1, 7)):
+            kind, at = rng.choice(["put", "get", "get", "erase"]), rng.randrange(12)
+            rows.append((f"k{k}", i, kind, rng.choice("ab") if kind == "put" else None, rng.choice(["a", "b", None]) if kind == "get" else None, at, at + rng.randrange(6)))
+    keys = {r[0] for r in rows}
+    want = {k: len(ops) for k in keys if not _explained(ops := [r[1:] for r in rows if r[0] == k])}
+    assert 20 < len(want) < len(keys) - 20
+    df = spark.createDataFrame(rows, "key string, id long, kind string, value string, seen string, call long, ret long")
+    assert {r["key"]: r["operations"] for r in folds.history_check(df).collect()} == want
+
+
+def test_history_query_checks_every_event(spark, tmp_path):
+    import datetime
+
+    from tidelog.plans.queries import QUERIES
+
+    at = datetime.datetime(2024, 1, 1)
+    # the only wrong answer is a get of another part of the ids, long after a user's eighth operation
+    rows = [(i, 1, "click", float(i), at) for i in range(1, 35)] + [(36, 1, "view", 36.0, at)] + [(i, 2, "click", float(i), at) for i in range(100, 140)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in QUERIES["history_check"](spark, str(tmp_path)).collect()] == [("user:1", 35)]

@@ -6,8 +6,10 @@ through the fold with the state of one key, so no key is ever held in memory.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -145,32 +147,76 @@ def publication_epochs(mutations: DataFrame, most: int = 32) -> DataFrame:
     return mutations.select("shard", "sequence", (F.floor((n - 1) / most) + 1).cast("long").alias("epoch"))
 
 
-def history_check(history: DataFrame) -> DataFrame:
-    """Keys whose concurrent history ``(key, id, kind, value, seen, call, ret)`` no order of single steps explains.
+class History:
+    """One key's operations in order of call: the states that some order of single steps allows.
 
-    ``kind`` is put, erase or get; ``seen`` is what a get answered, null for nothing. Histories of a key are searched for an
-    order that respects real time, with visited states remembered; a history is one key's, so it is small.
+    A state is a value and the pending operations that have taken effect. Only operations that overlap are
+    pending, so the states follow the overlap and not the length. An operation takes effect as late as the
+    return of it or of one that follows it allows, which loses no order.
     """
-    def search(f):
-        ops = f.sort_values(["call", "id"]).to_dict("records")
-        full, seen = (1 << len(ops)) - 1, set()
-        stack = [(0, None)]
+
+    def __init__(self):
+        self.n, self.pending, self.returns, self.states = 0, {}, [], {(frozenset(), None)}
+
+    def call(self, kind: str, value, seen, call: int, ret: int) -> None:
+        self.until(call)
+        if self.states:
+            self.pending[self.n] = (kind, value, seen)
+            heapq.heappush(self.returns, (ret, self.n))
+        self.n += 1
+
+    def until(self, at: int | None) -> None:
+        """Operations that returned before ``at`` have taken effect; all of them without it."""
+        while self.states and self.returns and (at is None or self.returns[0][0] < at):
+            self._end(heapq.heappop(self.returns)[1])
+
+    def _end(self, i: int) -> None:
+        stack, met, ended = list(self.states), set(self.states), set()
         while stack:
-            done, value = stack.pop()
-            if done == full:
-                return f.iloc[:0][["key"]].assign(operations=0)
-            if (done, value) in seen:
+            done, now = stack.pop()
+            if i in done:
+                ended.add((done - {i}, now))
                 continue
-            seen.add((done, value))
-            bound = min(o["ret"] for i, o in enumerate(ops) if not done >> i & 1)
-            for i, o in enumerate(ops):
-                if done >> i & 1 or o["call"] > bound:
+            for j, (kind, value, seen) in self.pending.items():
+                if j in done or kind == "get" and seen != now:
                     continue
-                if o["kind"] == "get":
-                    if (o["seen"] if isinstance(o["seen"], str) else None) == value:
-                        stack.append((done | 1 << i, value))
-                else:
-                    stack.append((done | 1 << i, o["value"] if o["kind"] == "put" else None))
-        return f.iloc[:1][["key"]].assign(operations=len(ops))
-
-    return history.groupBy("key").applyInPandas(search, "key string, operations long")
+                state = (done | {j}, now if kind == "get" else value if kind == "put" else None)
+                if state not in met:
+                    met.add(state)
+                    stack.append(state)
+        self.states = ended
+        del self.pending[i]
+        if not ended:
+            self.pending, self.returns = {}, []
+
+
+def history_check(history: DataFrame) -> DataFrame:
+    """Keys whose concurrent history ``(key, id, kind, value, seen, call, ret)`` no order of single steps explains.
+
+    ``kind`` is put, erase or get; ``seen`` is what a get answered, null for nothing. All operations of a key stream by in
+    order of call through a window of those still pending, so no history is held in memory. An operation that is
+    called when another returns overlaps it.
+    """
+    def text(x):
+        return x if isinstance(x, str) else None
+
+    def run(frames):
+        key, h = None, None
+        for f in frames:
+            bad = []
+            for k, kind, value, seen, call, ret in zip(*(f[c] for c in ("key", "kind", "value", "seen", "call", "ret")), strict=True):
+                if h is None or text(k) != key:
+                    if h is not None:
+                        h.until(None)
+                        if not h.states:
+                            bad.append((key, h.n))
+                    key, h = text(k), History()
+                h.call(kind, text(value), text(seen), int(call), int(ret))
+            yield pd.DataFrame(bad, columns=["key", "operations"])
+        if h is not None:
+            h.until(None)
+            if not h.states:
+                yield pd.DataFrame([(key, h.n)], columns=["key", "operations"])
+
+    rows = history.select("key", "id", "kind", "value", "seen", "call", "ret")
+    return rows.repartition("key").sortWithinPartitions("key", "call", "id").mapInPandas(run, "key string, operations long")

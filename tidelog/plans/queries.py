@@ -176,12 +176,12 @@ def hot_cache_hits(spark, d):
 
 @query
 def history_check(spark, d):
-    """Histories of overlapping operations by user; every ninth get answers something else."""
-    e = logs.read(spark, d, "events").where("event_id % 40 < 12").select(F.col("user_id"), F.col("event_id").alias("id"), "event_type", F.col("value").cast("string").alias("v"))
+    """All events of each user as a history of overlapping operations; every get whose id 9 divides answers something else."""
+    e = logs.read(spark, d, "events").select(F.col("user_id"), F.col("event_id").alias("id"), "event_type", F.col("value").cast("string").alias("v"))
     from pyspark.sql import window as W
 
     w = W.Window.partitionBy("user_id").orderBy("id")
-    e = e.withColumn("n", F.row_number().over(w)).where("n <= 8")
+    e = e.withColumn("n", F.row_number().over(w))
     kind = F.when(F.col("event_type") == "error", "erase").when(F.col("event_type") == "view", "get").otherwise("put")
     e = e.withColumn("kind", kind)
     past = F.last(F.when(F.col("kind") == "put", F.struct(F.col("v").alias("v"))).when(F.col("kind") == "erase", F.struct(F.lit(None).cast("string").alias("v"))), ignorenulls=True).over(w)
