@@ -64,6 +64,70 @@ def test_a_group_of_near_copies_and_a_common_passage(spark):
     assert got == brute.near(rows)
 
 
+def clusters(rng, n):
+    """Groups of texts at all similarities, most pairs near the bound, with a passage that half of them share."""
+    from tests.llm.conftest import prose
+
+    passage, rows = prose(rng, 40), []
+    for g in range(n):
+        base = prose(rng, rng.randrange(8, 160)).split(" ")
+        for _ in range(6):
+            w = list(base)
+            for _ in range(rng.randrange(5)):
+                w[rng.randrange(len(w))] = f"w{rng.randrange(9)}"
+            rows.append((len(rows), " ".join(w) + (" " + passage if g % 2 else "")))
+    return rows
+
+
+@pytest.mark.parametrize("limits", [{}, {"LONG_LIST": 4, "MOST_PAIRS": 0, "COMMON": 10_000, "CELL": 100, "PIECE": 3}, {"LONG_LIST": 4, "MOST_PAIRS": 0, "STARS": 0, "MOST_BITS": 10}])
+def test_jaccard_long_lists_blocks_and_full_filters(spark, monkeypatch, limits):
+    import random
+
+    for name, value in limits.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rows = clusters(random.Random(8), 50)
+    got = {r[0]: (r[1], r[2]) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute.near(rows)
+
+
+def test_jaccard_filters_of_all_orders_lose_no_pair():
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    texts = [t for _, t in clusters(rng, 40)]
+    sets = list(jaccard.shingle_sets(*textkernel.buffers(pa.array(texts))))
+    shift = 64 - 6 - 32
+    common = np.unique(jaccard.token_id(sets[-1][:30], shift))
+    fronts = [np.frombuffer(jaccard.fronts(u, common, shift), np.uint32).reshape(2, -1) for u in sets]
+    links = stopped = 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            through = jaccard.passes(len(x), len(y), fronts[i], fronts[j])
+            if jaccard.alike(x, y):
+                links += 1
+                assert through
+            stopped += not through
+    assert links > 30 and stopped > 5000
+
+
+def test_jaccard_keeps_rows_that_share_a_key_but_not_a_text(spark):
+    import random
+
+    from tests.llm.conftest import prose
+
+    rng = random.Random(10)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(1, a, 0), (1, b, 1), (2, a + " x", 2), (2, c, 3), (3, "", 4), (3, "", 5), (4, b.upper(), 6), (5, c, 7), (5, c, 8), (None, a, 9), (2, c.upper(), 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _j_n int")
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted(r["_j_n"] for r in kept.collect())
+    assert got in ([0, 1, 3, 4, 5, 9], [0, 1, 4, 5, 9, 10])
+    assert jaccard.keep_one(spark.createDataFrame([(7, c, 1), (7, c, 2), (7, c, 2)], "doc_id long, text string, n int")).count() == 1
+
+
 def test_substring_removal(docs, awkward, no_docs):
     out = substring.remove(docs)
     assert set(docs.columns) <= set(out.columns)

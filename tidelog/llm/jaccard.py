@@ -1,15 +1,17 @@
 """N-gram Jaccard join by prefix filters under several global token orders.
 
 Two sets of similarity t or more share a token among the first ``n - ceil(t n) + 1`` of each, in any order
-of all tokens. The first order meets documents in buckets; only tokens of two classes or more leave a bucket,
-as posting lists, and equal lists of a bucket are one. Pairs must share enough of their prefixes under
-the first order, then under each further order, before their sets are compared. The filters
-lose nothing and all counts are exact.
+of all tokens, and more of them the larger the sets. The first order meets documents in buckets; only tokens of two
+classes or more leave a bucket, as posting lists, and equal lists of a bucket are one. Pairs that share enough of
+their prefixes under the first order are candidates. They meet the prefixes under the second and third order, packed
+numbers of a fifth of a set, and only pairs that pass all three filters bring texts together for the
+exact comparison. The filters lose nothing and all counts are exact.
 
 Skew is met in four ways. Documents of equal sets are one class. Tokens that occur very often come last
-in every order (a bounded list), so passages that many documents share make no buckets. Lists that are still long
-name their tokens as common and are made again. In what is left, is first compared with one centre, and only classes that are still apart are paired, so a group of near
-copies costs a star and not all pairs. Joins on a hot centre or list have a side that can be split.
+in every order (a bounded list), so passages that many documents share make no candidates. Lists that are still long
+name their tokens as common and are made again. In what is left, each class is first compared with one centre, and only
+classes that are still apart are paired, so a group of near copies costs a star and not all pairs. Joins on a hot
+centre or list have a side that can be split.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .shared import components, partitions, table
+from .shared import components, discard, partitions, table
 
 SHINGLE, PERCENT = 5, 80
 #: Seeds of the token orders; the first one makes the buckets.
@@ -34,8 +36,11 @@ COMMON, LONG_LIST, MOST_COMMON, ROUNDS = 64, 1000, 1 << 19, 3
 STARS, MOST_PAIRS = 3, 40
 #: Classes of a packed piece of a list.
 PIECE = 256
+#: Tokens of a block of classes that are compared in one place.
+CELL = 500_000
 FLUSH = 2_000_000
-BLOOM_BITS, SEGMENTS = 24, 16
+#: Bits of a filter of ids at most (16 MB), and its parts.
+MOST_BITS, SEGMENTS = 27, 16
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -93,7 +98,7 @@ def _listed(x: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def classes(docs: DataFrame, shift: int, k: int) -> tuple[DataFrame, np.ndarray]:
-    """``(doc_id, n, cls)`` of every row, and the ids of common tokens.
+    """``(doc_id, n, cls, mark)`` of every row, ``mark`` a hash of its text, and the ids of common tokens.
 
     Each task lists the tokens that occur repeatedly in a stretch of its rows; the sums over all rows
     say which are common. The list only orders tokens: any list gives the same links.
@@ -106,7 +111,7 @@ def classes(docs: DataFrame, shift: int, k: int) -> tuple[DataFrame, np.ndarray]
         def often():
             ids, n = np.unique(np.concatenate(held), return_counts=True)
             ids, n = ids[n >= 4], n[n >= 4]
-            return pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), pa.array(n), pa.array(K.signed(ids))], ["doc_id", "n", "cls"])
+            return pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), pa.array(n), pa.array(K.signed(ids)), pa.nulls(len(ids), pa.int64())], ["doc_id", "n", "cls", "mark"])
 
         for part, data, offs in K.chunks(batches, 1):
             n, cls = [], []
@@ -116,17 +121,17 @@ def classes(docs: DataFrame, shift: int, k: int) -> tuple[DataFrame, np.ndarray]
                 low = u[K.mix(u ^ K.U(ORDERS[0])) < K.U(1 << 63)]  # prefixes hold the low end of the first order
                 held.append(token_id(low, shift))
                 total += len(low)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([-1 - x for x in n], pa.int64()), pa.array(cls, pa.int64())], ["doc_id", "n", "cls"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([-1 - x for x in n], pa.int64()), pa.array(cls, pa.int64()), part.column(2)], ["doc_id", "n", "cls", "mark"])
             if total > FLUSH:
                 yield often()
                 held, total = [], 0
         if held:
             yield often()
 
-    made = table(docs.mapInArrow(run, "doc_id long, n long, cls long"), "classes")
+    made = table(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, "doc_id long, n long, cls long, mark long"), "classes")
     sums = made.where("n > 0").groupBy("cls").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON)
     common = np.array([r[0] for r in sums.orderBy(F.desc("n"), "cls").limit(MOST_COMMON).select("cls").collect()], np.int64)
-    return made.where("n < 0").select("doc_id", (-1 - F.col("n")).alias("n"), "cls"), np.sort(K.unsigned(common))
+    return made.where("n < 0").select("doc_id", (-1 - F.col("n")).alias("n"), "cls", "mark"), np.sort(K.unsigned(common))
 
 
 def postings(docs: DataFrame, common: np.ndarray, buckets: int, k: int, percent: int) -> DataFrame:
@@ -226,35 +231,39 @@ def postings(docs: DataFrame, common: np.ndarray, buckets: int, k: int, percent:
     return table(sent.mapInArrow(meet, "list long, cls long, size long, weight long"), "postings")
 
 
-class Shape:
-    """A set with its prefixes under the further orders, made once for all its partners."""
+def fronts(u: np.ndarray, common: np.ndarray, shift: int, percent: int = PERCENT) -> bytes:
+    """The prefixes of a set under the further orders, 32 bits a token, each sorted."""
+    return b"".join(np.sort((K.mix(prefix(u, seed, common, shift, percent) ^ K.U(seed)) >> K.U(32)).astype(np.uint32)).tobytes() for seed in ORDERS[1:])
 
-    def __init__(self, u: np.ndarray, percent: int = PERCENT):
-        none = np.zeros(0, K.U)
-        self.set, self.percent = u, percent
-        self.fronts = [np.sort(prefix(u, seed, none, 0, percent)) for seed in ORDERS[1:]] if len(u) else []
 
+def passes(na: int, nb: int, fa: np.ndarray, fb: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether two sets of sizes ``na`` and ``nb`` with the ``fronts`` of each order share as many prefix tokens under each further order as similar sets must.
 
-def alike(x: Shape, y: np.ndarray) -> bool:
-    """Prefix filters under each further order, by the shared count that similar sets cannot miss, then the exact test."""
-    na, nb, percent = len(x.set), len(y), x.percent
-    if not na or not nb or 100 * min(na, nb) < percent * max(na, nb):
+    Equal numbers of different tokens can only let more pairs through, as repeats in a prefix count each.
+    """
+    if 100 * min(na, nb) < percent * max(na, nb):
         return False
     least = -(-percent * (na + nb) // (100 + percent))
-    none = np.zeros(0, K.U)
-    for seed, front in zip(ORDERS[1:], x.fronts, strict=True):
-        other = prefix(y, seed, none, 0, percent)
-        shared = _common(front, other)
-        if shared < max(1, min(len(front) - (na - least), len(other) - (nb - least))):
+    for x, y in zip(fa, fb, strict=True):
+        bound = max(1, min(len(x) - (na - least), len(y) - (nb - least)))
+        if int(np.count_nonzero(_found(x, y))) < bound:
             return False
-    both = _common(x.set, y)
-    return 100 * both >= percent * (na + nb - both)
+    return True
+
 
+def alike(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
+    """The exact test on two sorted sets."""
+    if not len(x) or not len(y) or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = int(np.count_nonzero(_found(x, y)))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
-def _common(sorted_: np.ndarray, other: np.ndarray) -> int:
+
+def _found(sorted_: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which of ``other`` are in a sorted list that is not empty."""
     j = np.searchsorted(sorted_, other)
     j[j == len(sorted_)] = 0
-    return int(np.count_nonzero(sorted_[j] == other))
+    return sorted_[j] == other
 
 
 def _segment(key: str):
@@ -262,14 +271,19 @@ def _segment(key: str):
 
 
 def id_filter(ids: DataFrame) -> dict[int, bytes]:
-    """A Bloom filter of the longs in ``doc_id``, of fixed size, in segments that executors build."""
+    """A Bloom filter of the longs in ``doc_id``, sixteen bits each up to MOST_BITS in all, in segments that executors build.
+
+    A fuller filter lets more rows through and loses none.
+    """
+    count = ids.count()
+    bits = min(MOST_BITS, max(16, (16 * count).bit_length())) - (SEGMENTS.bit_length() - 1)
 
     def build(batches):
         segs: dict[int, K.Bloom] = {}
         for batch in batches:
             of, keys = batch.column(0).to_numpy(), K.mix(K.unsigned(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)))
             for s in np.unique(of):
-                segs.setdefault(int(s), K.Bloom(BLOOM_BITS - 4)).add(K.mix(keys[of == s]))
+                segs.setdefault(int(s), K.Bloom(bits)).add(K.mix(keys[of == s]))
         if segs:
             yield pa.RecordBatch.from_arrays([pa.array(list(segs), pa.int32()), pa.array([zlib.compress(b.data.tobytes(), 1) for b in segs.values()], pa.binary())], ["s", "bits"])
 
@@ -277,47 +291,116 @@ def id_filter(ids: DataFrame) -> dict[int, bytes]:
     return {r["s"]: bytes(r["bits"]) for r in rows}
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``(cls, text)`` of the wanted ``(cls, doc_id)``; the filter keeps other texts out of the shuffle."""
-    held = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
+def sifted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``doc_id`` is among the wanted ones, and some others; nothing is shuffled."""
+    held = rows.sparkSession.sparkContext.broadcast(id_filter(wanted))
+    names = rows.columns
 
     def run(batches):
-        segs = {s: K.Bloom(BLOOM_BITS - 4, np.frombuffer(zlib.decompress(b), np.uint8)) for s, b in held.value.items()}
+        segs = {}
+        for s, b in held.value.items():
+            data = np.frombuffer(zlib.decompress(b), np.uint8)
+            segs[s] = K.Bloom(len(data).bit_length() + 2, data)
         for batch in batches:
-            ids, of = batch.column(0), batch.column(2).to_numpy()
-            keys = K.mix(K.unsigned(ids.to_numpy(zero_copy_only=False).astype(np.int64)))
+            of, keys = batch.column(len(names)).to_numpy(), K.mix(K.unsigned(batch.column(names.index("doc_id")).to_numpy(zero_copy_only=False).astype(np.int64)))
             found = np.zeros(len(keys), bool)
             for s, b in segs.items():
                 at = np.flatnonzero(of == s)
                 found[at] = b.has(K.mix(keys[at]))
-            for part, data, offs in K.chunks(iter([batch.filter(pa.array(found))]), 1):
-                cls = [set_hash(u) if len(u) else None for u in shingle_sets(data, offs, k)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cls, pa.int64()), part.column(1)], ["doc_id", "cls", "text"])
+            if found.any():
+                yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(pa.array(found))
 
-    some = docs.where("doc_id IS NOT NULL").select("doc_id", "text", _segment("doc_id").alias("s"))
-    return some.mapInArrow(run, "doc_id long, cls long, text string").join(wanted, ["doc_id", "cls"]).select("cls", "text")
+    return rows.where("doc_id IS NOT NULL").select(*names, _segment("doc_id").alias("s")).mapInArrow(run, rows.schema)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of classes that are similar: both texts meet, partners of a class one after the other."""
-    pairs = table(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(reps, "cls")
-    texts = table(texts_of(docs, wanted, k), "texts")
-    rows = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
+def cells(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``(root, i, j, a, b)``: the pairs by the places where they are compared.
+
+    Classes that pairs connect are one group, cut by hash into blocks of about CELL tokens. A pair belongs to the two
+    blocks of its classes, so a class travels once to each pair of blocks that has a pair of it, however many pairs.
+    """
+    groups = components(pairs)
+    found = groups.join(sizes.withColumnRenamed("cls", "node"), "node")
+    wide = found.groupBy("root").agg(F.ceil(F.sum("n") / CELL).alias("blocks"))
+    at = table(found.join(wide, "root").select("node", "root", F.pmod(F.xxhash64("node"), "blocks").alias("block")), "blocks")
+    one, two = (at.select(F.col("node").alias(c), *([F.col("root")] if c == "a" else []), F.col("block").alias(f"b{c}")) for c in ("a", "b"))
+    made = pairs.join(one, "a").join(two, "b").select("root", F.least("ba", "bb").alias("i"), F.greatest("ba", "bb").alias("j"), "a", "b")
+    made = table(made, "cells")
+    discard(at, groups)
+    return made
+
+
+def members(placed: DataFrame, reps: DataFrame) -> DataFrame:
+    """``(cls, doc_id)`` of the classes of some pairs."""
+    return placed.select(F.col("a").alias("cls")).unionByName(placed.select(F.col("b").alias("cls"))).distinct().join(reps.select("cls", "doc_id"), "cls")
+
+
+def compared(placed: DataFrame, payload: DataFrame, form, check) -> DataFrame:
+    """The rows of ``cells`` that pass ``check(x, y)``, x and y made by ``form`` from a column of ``payload(cls, n, payload)``."""
+    sent = placed.select("root", "i", "j", F.explode(F.array("a", "b")).alias("cls")).distinct().join(payload, "cls")
+    sent = sent.select("root", "i", "j", F.lit(0).alias("kind"), F.col("cls").alias("a"), F.col("n").alias("b"), "payload")
+    asks = placed.select("root", "i", "j", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast(payload.schema["payload"].dataType).alias("payload"))
+    cell = ["root", "i", "j"]
+    rows = sent.unionByName(asks).repartition(*cell).sortWithinPartitions(*cell, "kind")
 
     def run(batches):
-        last, held = None, None
+        at, held = None, {}
         for batch in batches:
-            for part, data, offs in K.chunks(iter([batch]), 2):
-                a, b, ta = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3)
-                ok = []
-                for i, u in enumerate(shingle_sets(data, offs, k)):
-                    if a[i] != last:
-                        last, held = a[i], Shape(next(shingle_sets(*K.buffers(ta.slice(i, 1)), k)), percent)
-                    ok.append(alike(held, u))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            where = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
+            kind = batch.column(3).to_numpy()
+            edges = [0, *(x for x in range(1, len(where)) if where[x] != where[x - 1] or kind[x] != kind[x - 1]), len(where)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if lo == hi:
+                    continue
+                if where[lo] != at:
+                    at, held = where[lo], {}
+                part = batch.slice(lo, hi - lo)
+                a, b = part.column(4).to_pylist(), part.column(5).to_pylist()
+                if kind[lo] == 0:
+                    held.update(zip(a, form(b, part.column(6)), strict=True))
+                else:
+                    ok = [check(held[x], held[y]) for x, y in zip(a, b, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(3)), part.column(4), part.column(5)], [*cell, "a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return rows.mapInArrow(run, "root long, i long, j long, a long, b long")
+
 
-    return table(rows.select("a", "b", "tb", "ta").mapInArrow(run, "a long, b long"), "links")
+def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, common: np.ndarray, shift: int, k: int, percent: int) -> DataFrame:
+    """The candidate pairs ``(a, b)`` of classes that are similar; ``reps(cls, doc_id, n)`` has a document of each class.
+
+    First the packed prefixes under all further orders meet. Only the texts of pairs that pass are brought together.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(common)
+    pairs = table(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
+
+    def form(batches):
+        for part, data, offs in K.chunks(batches, 1):
+            out = ([], [], [])
+            for u in shingle_sets(data, offs, k):
+                for c, v in zip(out, (set_hash(u), len(u), fronts(u, held.value, shift, percent)) if len(u) else (None, 0, b""), strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary()), strict=True)), part.column(1)], ["doc_id", "cls", "n", "fronts", "text"])
+
+    placed = cells(pairs, reps.select("cls", "n"))
+    wanted = table(members(placed, reps), "wanted")
+    forms = table(sifted(docs.select("doc_id", "text"), wanted).mapInArrow(form, "doc_id long, cls long, n long, fronts binary, text string"), "forms")
+    signs = forms.join(wanted, ["doc_id", "cls"]).groupBy("cls").agg(F.first("n").alias("n"), F.first("fronts").alias("payload"))
+    left = compared(
+        placed, signs, lambda n, column: [(size, np.frombuffer(x, np.uint32).reshape(len(ORDERS) - 1, -1)) for size, x in zip(n, column.to_pylist(), strict=True)],
+        lambda x, y: passes(x[0], y[0], x[1], y[1], percent),
+    )
+    left = table(left, "passed")
+    needs = table(members(left, reps), "needs")
+    texts = sifted(forms.select("doc_id", "cls", "n", "text"), needs).join(needs, ["doc_id", "cls"]).groupBy("cls").agg(F.first("n").alias("n"), F.first("text").alias("payload"))
+
+    def sets(_n, column):
+        return [u for part, data, offs in K.chunks(iter([pa.RecordBatch.from_arrays([column], ["t"])]), 0) for u in shingle_sets(data, offs, k)]
+
+    links = table(compared(left, texts, sets, lambda x, y: alike(x, y, percent)).select("a", "b"), "links")
+    discard(pairs, placed, wanted, forms, left, needs)
+    return links
 
 
 def _enough(pairs: DataFrame, percent: int) -> DataFrame:
@@ -330,51 +413,60 @@ def _enough(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(sizes & (F.col("shared") >= bound))
 
 
-def _labelled(lists: DataFrame, found: DataFrame) -> DataFrame:
+def _labelled(lists: DataFrame, found: DataFrame | None) -> DataFrame:
+    if found is None:
+        return lists.select("list", "cls", "n", "weight", F.col("cls").alias("label"))
     return lists.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("list", "cls", "n", "weight", F.coalesce("root", "cls").alias("label"))
 
 
-def _askers(at: DataFrame, found: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
+def _askers(at: DataFrame, found: DataFrame | None, apart: DataFrame, percent: int, spent: list[DataFrame]) -> DataFrame:
     """Pairs ``(a, b)``, a < b, of classes that are apart and share enough prefix tokens over all lists.
 
     Components are ordered by size, the same in every list: the class of the smaller one asks, so a pair is counted on one side. Each
     asker gets the classes of a list in packed pieces, so a list costs rows in proportion to those who
     ask. All of an asker's pieces meet and are counted there.
     """
-    mass = found.groupBy(F.col("root").alias("label")).agg(F.count("*").alias("mass"))
-    mixed = at.join(apart.select("list"), "list", "left_semi").join(mass, "label", "left").withColumn("mass", F.coalesce("mass", F.lit(1)).cast("long"))
+    mixed = at.join(apart.select("list"), "list", "left_semi")
+    if found is None:
+        mixed = mixed.withColumn("mass", F.lit(1).cast("long"))
+    else:
+        mass = found.groupBy(F.col("root").alias("label")).agg(F.count("*").alias("mass"))
+        mixed = mixed.join(mass, "label", "left").withColumn("mass", F.coalesce("mass", F.lit(1)).cast("long"))
     mixed = table(mixed.select("list", "cls", "n", "weight", "label", "mass"), "mixed")
     top = mixed.groupBy("list").agg(F.max(F.struct("mass", "label")).alias("top"), F.count("*").alias("size"))
-    mixed = mixed.join(table(top, "top"), "list")
+    top = table(top, "top")
+    spent += [mixed, top]
+    mixed = mixed.join(top, "list")
     piece = F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / PIECE))
     packed = mixed.groupBy("list", piece.alias("piece")).agg(F.collect_list(F.struct("cls", "n", "label", "mass")).alias("m"))
     rows = mixed.where("label <> top.label").select("list", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), "weight", F.col("mass").alias("ma"))
-    rows = rows.join(packed.select("list", "m"), "list").drop("list").repartition("a").sortWithinPartitions("a")
+    # an asker gets those of larger components only, of a size that allows the similarity
+    fit = f"transform(filter(m, x -> (x.mass > ma OR (x.mass = ma AND x.label > la)) AND 100 * x.n >= {percent} * na AND 100 * na >= {percent} * x.n), x -> named_struct('cls', x.cls, 'n', x.n))"
+    rows = rows.join(packed.select("list", "m"), "list").select("a", "na", "weight", F.expr(fit).alias("m")).where("size(m) > 0").repartition("a").sortWithinPartitions("a")
 
     def count(batches):
-        a, na, la, ma, held = None, 0, 0, 0, []
+        a, na, held = None, 0, []
 
         def close():
-            cls, n, label, mass, w = (np.concatenate(c) for c in zip(*held, strict=True))
-            ok = ((mass > ma) | (mass == ma) & (label > la)) & (100 * n >= percent * na) & (100 * na >= percent * n)
-            got, first, at_ = np.unique(cls[ok], return_index=True, return_inverse=True)
-            shared, nb = np.bincount(at_, w[ok], len(got)), n[ok][first]
+            cls, n, w = (np.concatenate(c) for c in zip(*held, strict=True))
+            got, first, at_ = np.unique(cls, return_index=True, return_inverse=True)
+            shared, nb = np.bincount(at_, w, len(got)), n[first]
             least = -(-percent * (na + nb) // (100 + percent))
             fa, fb = na - needed(na, percent) + 1, nb - (-(-percent * nb // 100)) + 1
             got = got[shared >= np.minimum(fa - (na - least), fb - (nb - least))]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(got, a)), pa.array(np.maximum(got, a))], ["a", "b"])
 
         for batch in batches:
-            who, size, label, weight, heft = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            lists = batch.column(5)
+            who, size, weight = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            lists = batch.column(3)
             offs, flat = lists.offsets.to_numpy(), lists.values
-            fields = [flat.field(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            fields = [flat.field(i).to_numpy(zero_copy_only=False) for i in range(2)]
             edges = np.flatnonzero(np.r_[True, who[1:] != who[:-1], True]) if len(who) else []
             for lo, hi in zip(edges, edges[1:], strict=False):
                 if held and int(who[lo]) != a:
                     yield close()
                     held = []
-                a, na, la, ma = int(who[lo]), int(size[lo]), int(label[lo]), int(heft[lo])
+                a, na = int(who[lo]), int(size[lo])
                 s = slice(offs[lo], offs[hi])
                 held.append((*(x[s] for x in fields), np.repeat(weight[lo:hi], np.diff(offs[lo : hi + 1]))))
         if held:
@@ -383,78 +475,106 @@ def _askers(at: DataFrame, found: DataFrame, apart: DataFrame, percent: int) ->
     return rows.mapInArrow(count, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for every row of ``docs``, named as said whatever ``key`` is called.
-
-    Words are lower-cased in A-Z. ``component_id`` is the smallest key reachable by links of similarity
-    ``percent`` or more. Null, empty and wordless texts have no shingles, no links and their own key. Rows with a
-    null key are linked with nothing and get a null component. Repeated rows get the same answer each. Keys are
-    whole numbers; other columns are not read; an empty table gives no row.
-    """
-    spark = docs.sparkSession
-    src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def _joined(src: DataFrame, k: int, percent: int) -> DataFrame:
+    """``(doc_id, n, cls, mark, component_id)`` for every row of ``src(doc_id, text)``."""
+    spark = src.sparkSession
     buckets = 1 << min(20, max(6, (partitions(spark) - 1).bit_length()))
     shift = 64 - (buckets.bit_length() - 1) - 32
     rows, common = classes(src, shift, k)
     reps = table(rows.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "reps")
-    size, rep = reps.select("cls", "n"), reps.select("cls", "doc_id")
+    size = reps.select("cls", "n")
     none = spark.createDataFrame([], "a long, b long")
     links, tried = none, none
-    found = spark.createDataFrame([], "node long, root long")
+    found = None  # components of the links so far
+    spent: list[DataFrame] = []
     for last in (*[False] * (ROUNDS - 1), True):
         made = postings(src, common, buckets, k, percent)
         lists = made.where("weight IS NOT NULL")
         # the class with most partners in all its lists heads each of them
         heads = lists.groupBy("cls").agg(F.sum(F.col("weight") * F.col("size")).alias("pop")).join(size, "cls")
         lists = table(lists.join(heads, "cls"), "lists")
+        long = table(made.where("weight IS NULL").select("list", "size"), "long")
+        discard(made)
         tops = table(lists.groupBy("list").agg(F.max_by(F.struct("cls", "n"), F.struct("pop", "cls")).alias("t")), "tops")
         for _ in range(STARS):
             star = _labelled(lists, found).join(tops, "list").withColumn("a", F.col("t.cls"))
-            star = star.join(found.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").where("label <> coalesce(ra, a)")
+            if found is None:
+                star = star.where("cls <> a")
+            else:
+                star = star.join(found.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").where("label <> coalesce(ra, a)")
             star = star.groupBy("a", F.col("cls").alias("b")).agg(F.first("t.n").alias("na"), F.first("n").alias("nb"), F.sum("weight").alias("shared"))
             # each class asks the one head it shares most with, of those not asked yet
             star = _enough(star, percent).join(tried, ["a", "b"], "left_anti").groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
             star = table(star, "star")
             if star.isEmpty():
                 break
-            good = verified(src, star, rep, k, percent)
+            good = verified(src, star, reps, common, shift, k, percent)
             tried, links = tried.unionByName(star), links.unionByName(good)
+            spent += [star, good]
             if good.isEmpty():
                 break
             found = components(links)
         # what is still apart within a list is paired, unless long lists should first give way
         at = table(_labelled(lists, found), "labelled")
+        discard(lists, tops)
         parts = at.groupBy("list", "label").agg(F.count("*").alias("c"))
         apart = parts.groupBy("list").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).where("pairs > 0")
         apart = table(apart, "apart")
+        spent += [at, apart, long]
         if last or (apart.agg(F.sum("pairs")).first()[0] or 0) <= MOST_PAIRS * rows.count():
             break
-        lots = made.where("weight IS NULL").orderBy(F.desc("size"), "list").limit(MOST_COMMON).select("list").collect()
+        lots = long.orderBy(F.desc("size"), "list").limit(MOST_COMMON).select("list").collect()
         late = np.union1d(common, K.unsigned(np.array([r[0] for r in lots], np.int64)))
         if len(late) == len(common):
             break
         common = late
-    near = _askers(at, found, apart, percent)
+    near = _askers(at, found, apart, percent, spent)
     both = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = verified(src, near.join(both, ["a", "b"], "left_anti"), rep, k, percent)
+    more = verified(src, near.join(both, ["a", "b"], "left_anti"), reps, common, shift, k, percent)
+    spent.append(more)
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
+    if found is None:
+        discard(*spent)
+        named = reps.select("cls", F.col("doc_id").alias("head"))
+        return rows.join(named, "cls", "left").select("doc_id", "n", "cls", "mark", F.when(F.col("doc_id").isNotNull(), F.coalesce("head", "doc_id")).alias("component_id"))
     labels = reps.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.col("doc_id").alias("least"), F.coalesce("root", "cls").alias("label"))
     heads = labels.groupBy("label").agg(F.min("least").alias("head"))
-    named = labels.join(heads, "label").select("cls", "head")
+    named = table(labels.join(heads, "label").select("cls", "head"), "named")
+    discard(*spent, reps)
     out = rows.join(named, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("head", "doc_id")).alias("component_id"))
+    return out.select("doc_id", "n", "cls", "mark", F.when(F.col("doc_id").isNotNull(), F.coalesce("head", "doc_id")).alias("component_id"))
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` for every row of ``docs``, named as said whatever ``key`` is called.
+
+    Words are lower-cased in A-Z. ``component_id`` is the smallest key reachable by links of similarity
+    ``percent`` or more. Null, empty and wordless texts have no shingles, no links and their own key. Rows with a
+    null key are linked with nothing and get a null component. Repeated rows get the same answer each; rows that share a
+    key and not the text are told apart. Keys are whole numbers; other columns are not read; an empty table gives no row.
+    """
+    src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return _joined(src, k, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, without those that have a similar document of smaller key.
 
-    Of each group the row of the smallest key stays, once. Rows with a null key or without words stay.
+    Of each group the row of the smallest key stays, and of several such rows with equal sets the one whose text
+    has the least hash. Rows with a null key or without words stay, and so do rows that share a key but not a set.
     """
-    from pyspark.sql import window as W
-
-    gone = table(join(docs, key, text, k, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_j_id")).distinct(), "gone")
-    rest = docs.join(gone, docs[key].cast("long") == F.col("_j_id"), "left_anti")
-    again = rest.withColumn("_j_n", F.when(F.col(key).isNotNull(), F.row_number().over(W.Window.partitionBy(key).orderBy(F.xxhash64(text)))).otherwise(1))
-    return again.where("_j_n = 1").drop("_j_n")
+    names = docs.columns
+    own = docs.select(F.struct(*(docs[c] for c in names)).alias("row"), docs[key].cast("long").alias("id"), docs[text].alias("text"))
+    own = own.select("row", "id", F.xxhash64("text").alias("mark"))
+    src = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
+    found = _joined(src, k, percent).where("n > 0 AND doc_id IS NOT NULL")
+    same = table(found.groupBy("doc_id", "cls").agg(F.min("component_id").alias("c"), F.count("*").alias("rows"), F.min("mark").alias("first"), F.collect_set("mark").alias("marks")), "same")
+    gone = same.where("doc_id <> c").select(F.col("doc_id").alias("id"), F.explode("marks").alias("mark"))
+    again = same.where("doc_id = c AND rows > 1")
+    late = again.select(F.col("doc_id").alias("id"), F.explode("marks").alias("mark"), "first").where("mark <> first").drop("first")
+    once = again.select(F.col("doc_id").alias("id"), F.col("first").alias("mark"))
+    stay = own.join(gone.unionByName(late).unionByName(once).distinct(), ["id", "mark"], "left_anti").select("row.*")
+    single = own.join(once, ["id", "mark"]).groupBy("id", "mark").agg(F.first("row").alias("row")).select("row.*")
+    return stay.toDF(*names).unionByName(single.toDF(*names)) if len({c.lower() for c in names}) == len(names) else stay.union(single)

@@ -23,10 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     sc = spark.sparkContext
     kept = sc._jsc.sc().getCheckpointDir()
-    if kept.isEmpty():
-        sc.setCheckpointDir("/tmp/checkpoints")
-        kept = sc._jsc.sc().getCheckpointDir()
-    return kept.get()
+    if not kept.isEmpty():
+        return kept.get()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+    return "/tmp/checkpoints"
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -34,7 +35,17 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.shared_path = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of the shared folder that nothing reads any more: all that came of them is written."""
+    for t in tables:
+        jvm, path = t.sparkSession._jvm, t.shared_path
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def words(text: Column) -> Column:
@@ -64,7 +75,8 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("n"), F.least("a", "b").alias("s"))
         least = down.groupBy("n").agg(F.min("s").alias("m"))
         small = down.join(least, "n").select(F.col("m").alias("a"), F.explode(F.array("n", "s")).alias("b"))
-        e = table(small.where("a <> b").distinct(), "cc")
+        before, e = e, table(small.where("a <> b").distinct(), "cc")
+        discard(before)
         state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if seen == state:
             break
@@ -73,6 +85,8 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = e.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
     own = e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
-    return table(roots.unionByName(own), "components")
+    made = table(roots.unionByName(own), "components")
+    discard(e)
+    return made
 
 
