@@ -36,8 +36,8 @@ COMMON, LONG_LIST, MOST_COMMON, ROUNDS = 64, 1000, 1 << 19, 3
 STARS, MOST_PAIRS = 3, 40
 #: Classes of a packed piece of a list.
 PIECE = 256
-#: Tokens of a block of classes that are compared in one place.
-CELL = 500_000
+#: Tokens of a block of classes that are compared in one place, and pairs of a place.
+CELL, PAIRS = 500_000, 2048
 FLUSH = 2_000_000
 #: Bits of a filter of ids at most (16 MB), and its parts.
 MOST_BITS, SEGMENTS = 27, 16
@@ -314,19 +314,25 @@ def sifted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def cells(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``(root, i, j, a, b)``: the pairs by the places where they are compared.
+    """``(i, j, salt, a, b)``: the pairs by the places where they are compared.
 
-    Classes that pairs connect are one group, cut by hash into blocks of about CELL tokens. A pair belongs to the two
-    blocks of its classes, so a class travels once to each pair of blocks that has a pair of it, however many pairs.
+    Each class joins its neighbour of most pairs, or itself; such a group is cut by hash into blocks of about CELL tokens.
+    A pair belongs to the two blocks of its classes, so a class travels once to each two blocks that have a pair of
+    it, however many pairs. Groups of many pairs are salted by ``b``, PAIRS or so to a place.
     """
-    groups = components(pairs)
-    found = groups.join(sizes.withColumnRenamed("cls", "node"), "node")
-    wide = found.groupBy("root").agg(F.ceil(F.sum("n") / CELL).alias("blocks"))
-    at = table(found.join(wide, "root").select("node", "root", F.pmod(F.xxhash64("node"), "blocks").alias("block")), "blocks")
-    one, two = (at.select(F.col("node").alias(c), *([F.col("root")] if c == "a" else []), F.col("block").alias(f"b{c}")) for c in ("a", "b"))
-    made = pairs.join(one, "a").join(two, "b").select("root", F.least("ba", "bb").alias("i"), F.greatest("ba", "bb").alias("j"), "a", "b")
-    made = table(made, "cells")
-    discard(at, groups)
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("d")).join(sizes.withColumnRenamed("cls", "node"), "node")
+    degree = table(degree, "degree")
+    near = both.join(degree.select(F.col("node").alias("b"), "d"), "b").groupBy(F.col("a").alias("node")).agg(F.max(F.struct("d", "b")).alias("top"))
+    own = F.struct(F.col("d"), F.col("node").alias("b"))
+    found = degree.join(near, "node").select("node", "d", "n", F.greatest(own, "top")["b"].alias("root"))
+    wide = found.groupBy("root").agg(F.ceil(F.sum("n") / CELL).alias("blocks"), F.ceil(F.sum("d") / PAIRS).alias("salts"))
+    at = found.join(wide, "root").select("node", F.xxhash64("root", F.pmod(F.xxhash64("node"), "blocks")).alias("unit"), "salts")
+    at = table(at, "units")
+    one, two = (at.select(F.col("node").alias(c), F.col("unit").alias(f"u{c}"), F.col("salts").alias(f"s{c}")) for c in ("a", "b"))
+    salt = F.pmod(F.xxhash64("b"), F.greatest("sa", "sb"))
+    made = table(pairs.join(one, "a").join(two, "b").select(F.least("ua", "ub").alias("i"), F.greatest("ua", "ub").alias("j"), salt.alias("salt"), "a", "b"), "cells")
+    discard(degree, at)
     return made
 
 
@@ -337,10 +343,10 @@ def members(placed: DataFrame, reps: DataFrame) -> DataFrame:
 
 def compared(placed: DataFrame, payload: DataFrame, form, check) -> DataFrame:
     """The rows of ``cells`` that pass ``check(x, y)``, x and y made by ``form`` from a column of ``payload(cls, n, payload)``."""
-    sent = placed.select("root", "i", "j", F.explode(F.array("a", "b")).alias("cls")).distinct().join(payload, "cls")
-    sent = sent.select("root", "i", "j", F.lit(0).alias("kind"), F.col("cls").alias("a"), F.col("n").alias("b"), "payload")
-    asks = placed.select("root", "i", "j", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast(payload.schema["payload"].dataType).alias("payload"))
-    cell = ["root", "i", "j"]
+    cell = ["i", "j", "salt"]
+    sent = placed.select(*cell, F.explode(F.array("a", "b")).alias("cls")).distinct().join(payload, "cls")
+    sent = sent.select(*cell, F.lit(0).alias("kind"), F.col("cls").alias("a"), F.col("n").alias("b"), "payload")
+    asks = placed.select(*cell, F.lit(1).alias("kind"), "a", "b", F.lit(None).cast(payload.schema["payload"].dataType).alias("payload"))
     rows = sent.unionByName(asks).repartition(*cell).sortWithinPartitions(*cell, "kind")
 
     def run(batches):
@@ -362,7 +368,7 @@ def compared(placed: DataFrame, payload: DataFrame, form, check) -> DataFrame:
                     ok = [check(held[x], held[y]) for x, y in zip(a, b, strict=True)]
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(3)), part.column(4), part.column(5)], [*cell, "a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return rows.mapInArrow(run, "root long, i long, j long, a long, b long")
+    return rows.mapInArrow(run, "i long, j long, salt long, a long, b long")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, common: np.ndarray, shift: int, k: int, percent: int) -> DataFrame:
@@ -496,8 +502,17 @@ def _joined(src: DataFrame, k: int, percent: int) -> DataFrame:
         long = table(made.where("weight IS NULL").select("list", "size"), "long")
         discard(made)
         tops = table(lists.groupBy("list").agg(F.max_by(F.struct("cls", "n"), F.struct("pop", "cls")).alias("t")), "tops")
-        for _ in range(STARS):
-            star = _labelled(lists, found).join(tops, "list").withColumn("a", F.col("t.cls"))
+        for turn in range(STARS + 1):
+            # what is apart within a list: few enough pairs are all compared, else a star joins some first
+            at = _labelled(lists, found)
+            parts = at.groupBy("list", "label").agg(F.count("*").alias("c"))
+            apart = parts.groupBy("list").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).where("pairs > 0")
+            apart = table(apart, "apart")
+            spent.append(apart)
+            much = (apart.agg(F.sum("pairs")).first()[0] or 0) > MOST_PAIRS * rows.count()
+            if turn == STARS or not much and found is not None:
+                break
+            star = at.join(tops, "list").withColumn("a", F.col("t.cls"))
             if found is None:
                 star = star.where("cls <> a")
             else:
@@ -506,28 +521,24 @@ def _joined(src: DataFrame, k: int, percent: int) -> DataFrame:
             # each class asks the one head it shares most with, of those not asked yet
             star = _enough(star, percent).join(tried, ["a", "b"], "left_anti").groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
             star = table(star, "star")
+            spent.append(star)
             if star.isEmpty():
                 break
             good = verified(src, star, reps, common, shift, k, percent)
             tried, links = tried.unionByName(star), links.unionByName(good)
-            spent += [star, good]
+            spent.append(good)
             if good.isEmpty():
                 break
             found = components(links)
-        # what is still apart within a list is paired, unless long lists should first give way
-        at = table(_labelled(lists, found), "labelled")
-        discard(lists, tops)
-        parts = at.groupBy("list", "label").agg(F.count("*").alias("c"))
-        apart = parts.groupBy("list").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).where("pairs > 0")
-        apart = table(apart, "apart")
-        spent += [at, apart, long]
-        if last or (apart.agg(F.sum("pairs")).first()[0] or 0) <= MOST_PAIRS * rows.count():
+        if last or not much:
             break
         lots = long.orderBy(F.desc("size"), "list").limit(MOST_COMMON).select("list").collect()
         late = np.union1d(common, K.unsigned(np.array([r[0] for r in lots], np.int64)))
         if len(late) == len(common):
             break
         common = late
+        discard(lists, tops, long)
+    spent += [lists, tops, long]
     near = _askers(at, found, apart, percent, spent)
     both = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = verified(src, near.join(both, ["a", "b"], "left_anti"), reps, common, shift, k, percent)
