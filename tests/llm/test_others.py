@@ -36,10 +36,54 @@ def test_html_class_of_a_wrapper_does_not_count_against_its_article():
 
 
 def test_html_reads_broken_and_deep_pages_in_linear_time():
-    for page in ("<div>" * 50_000, '<a "' * 50_000, "<p>" + "x, " * 200_000, "<header>" * 50_000, "<ul><li>" * 30_000, "<b>" * 30_000 + "</i>" * 30_000, "<" * 50_000):
+    for page in ("<div>" * 50_000, '<a "' * 50_000, "<p>" + "x, " * 200_000, "<header>" * 50_000, "<ul><li>" * 30_000, "<b>" * 30_000 + "</i>" * 30_000, "<" * 50_000, "<li><ul>" + "<div>" * 25_000 + "<li>" * 25_000, "<b><div>" + "<i>" * 20_000 + "</b>" * 20_000):
         html.main_text(page)
 
 
+def para(k):
+    return f"Paragraph {k} has some text, with commas in it, and is long enough to be one of an article."
+
+
+BODY = "<h1>Head</h1>" + "".join(f"<p>{para(k)}</p>" for k in range(3))
+TEXT = " ".join(["Head", *(para(k) for k in range(3))])
+SECTIONS = "".join(f"<section><div><div><div><p>{para(k)}</p><p>{para(k + 10)}</p></div></div></div></section>" for k in range(6))
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<body><form><div>{BODY}</div></form></body>", TEXT),
+    (f"<body><div><p>{para(70)}</p></div><form id=aspnetForm><article>{BODY}</article></form></body>", TEXT),
+    (f"<body><div class='panel-discussion'><article>{BODY}</article></div></body>", TEXT),
+    (f"<body><article class='post comments-open'>{BODY}</article></body>", TEXT),
+    (f"<body><section id='discussion'>{BODY}</section></body>", TEXT),
+    (f"<body><header><h1>Site</h1></header><div>Skip</div><form>{BODY.replace('h1', 'h2')}</form></body>", TEXT),
+    (f"<body><div>{SECTIONS}</div></body>", " ".join(f"{para(k)} {para(k + 10)}" for k in range(6))),
+    (f"<body><article>{BODY}<ul><li><a href=1>one</a><li><a href=2>two</a><li><a href=3>three</a></ul></article></body>", f"{TEXT} one two three"),
+    (f"<body><div><ul><li><a href=1>menu</a></ul>{BODY}</div></body>", TEXT),
+    (f"<body><article><h1>Short</h1><p>{para(1)}</p></article><div id=comments>{''.join(f'<article><h4>me</h4><p>{para(k)}</p></article>' for k in range(50, 60))}</div></body>", f"Short {para(1)}"),
+    (f"<body><div><article>Tiny, but all.</article></div><div class='ad'>{para(4)}</div></body>", "Tiny, but all."),
+    (f"<body><div><i><b><u>{para(1)}</u></b></i><li><div><div>{para(2)}</div><li>{para(3)}</div></body>", f"{para(1)} {para(2)} {para(3)}"),
+])
+def test_html_structure_decides(page, text):
+    assert html.main_text(page) == text
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_html_of_generated_pages(seed):
+    """Pages put together at random, with the text of their article known."""
+    rng = random.Random(seed)
+    blocks = [(rng.choice(["p", "p", "p", "blockquote", "pre", "h2"]), f"{para(k)} {'more, and more. ' * rng.randrange(9)}".strip()) for k in range(rng.randrange(2, 12))]
+    body = "<h1>Head</h1>" + "".join(f"<{t}>{rng.choice(['', ' ', chr(10)])}{x}</{t}>" for t, x in blocks)
+    want = " ".join(["Head", *(x for _, x in blocks)])
+    kind = rng.randrange(3)
+    body = f"<article>{body}</article>" if kind == 0 else f"<main><div>{body}</div></main>" if kind == 1 else f"<div class=text>{body}</div>"
+    for _ in range(rng.randrange(4)):
+        body = rng.choice(["<div>{}</div>", "<div class='modal-page'>{}</div>", "<form>{}</form>", "<div class='has-sidebar'>{}</div>", "<section>{}</section>"]).format(body)
+    around = [f"<nav>{para(90)}</nav>", f"<div class='sidebar'>{para(91)}</div>", f"<div class='cookie-notice'>{para(92)}</div>", f"<div id='comments'><p>{para(93)}</p><p>{para(94)}</p></div>", "<ul><li><a href=1>a</a><li><a href=2>b</a></ul>", f"<footer>{para(95)}</footer>", f"<aside>{para(96)}</aside>", f"<script>{para(97)}</script>", f"<div style='display: none'>{para(98)}</div>"]
+    rng.shuffle(around)
+    cut = rng.randrange(len(around))
+    assert html.main_text("<html><body>" + "".join(around[:cut]) + body + "".join(around[cut:]) + "</body></html>") == want
+
+
 def test_html_operator(spark):
     rows = [(1, "u", PAGE, "t", 5), (2, None, None, "t", 5), (None, "u", "", "t", 5), (1, "u", PAGE, "t", 5)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, TEXT string, other int")

@@ -1,16 +1,21 @@
 """Main-text extraction from HTML by tree scoring.
 
 A page is read into a flat tree (parents before children, so every pass is one loop and depth does
-not matter). Blocks of text earn points for their length and commas, less by their link density, and
-pass them up: all to the parent, half to the next, ever less above. The best container, weighed by what it is
-and by its own link density, is the article; siblings that score well enough belong to it. Parts that say
-by tag, role or class that they are not the article are left out first.
+not matter). Blocks of text earn points for their length and commas, less by their link share, and
+pass them up: all to the parent, half to the next, a quarter to the one after. The container with most points is the
+article's core. From there up, siblings that score well enough, or are of the same kind, belong to it, up to the element that
+the page itself marks as the article.
+
+Parts that say by tag, role or class that they are something else are left out first, but such a claim
+is void where the structure refutes it: what holds the marked article, or where none is marked the first heading of the first rank, or
+where there is none most of the prose, is a wrapper, whatever it is called. What is left out: menus, headers and footers of the page, sidebars, notices, adverts, forms,
+readers' comments, hidden elements, scripts, styles and other markup, and, outside a marked article, lists of nothing but
+links before or after all prose. Nothing else is dropped or cut.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -21,36 +26,45 @@ _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
-#: Ancestors a block's points reach; open elements looked at for an item that was left open.
-LEVELS, DEPTH = 5, 100
-#: How surely an element is not the article; characters that are enough for a page.
-SOFT, HARD, ENOUGH = 1, 2, 100
+#: Ancestors that a block's points reach, each half of the one before.
+LEVELS = 4
+#: Shares of the core's points that a sibling needs: beside the core, and beside its ancestors.
+NEAR, FAR = 0.2, 0.4
+#: What an element claims to be: nothing, something that a wrapper may be called, a form, readers' comments, a part of the page's frame, never text.
+NONE, CLASS, FORM, COMMENT, FRAME, NEVER = range(6)
 
 # What HTML says of its elements.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object select xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-GROUPED = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
-NEVER = frozenset("nav aside footer form dialog menu button fieldset canvas audio video map".split())
-NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist note".split())
-#: Words of a class or id that speak against a part, for it, and that always mean readers' comments.
-AGAINST = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adsense banner breadcrumb breadcrumbs byline captcha consent cookie cookies dfp footer gdpr header hidden legal login masthead menu menubar modal nav navbar navigation newsletter notice notices"
-    " notification outbrain overlay pager pagination paywall popup promo promoted promotion recommend recommended recommendations related remark rss search share sharing shoutbox sidebar signup skip skyscraper social sponsor sponsored subscribe subscription taboola"
-    " tags toc toolbar tooltip topbar trending widget widgets alert aside pageheader pagefooter sitenav".split()
-)
-FOR = frozenset("article articlebody body content entry hentry main page post story text".split())
-COMMENTS = frozenset("comment comments commentlist disqus discussion replies reply respond responses".split())
-BASE = {"article": 10.0, "main": 10.0, "section": 5.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "li": -3.0, "dd": -3.0, "dt": -3.0, "address": -3.0, "th": -5.0, "h1": -5.0, "h2": -5.0, "h3": -5.0, "h4": -5.0, "h5": -5.0, "h6": -5.0}
+GROUPED = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
+FRAMES = frozenset("nav aside footer dialog menu button canvas audio video map".split())
+ROLES = {"navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar tablist note": FRAME, "form": FORM}
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure".split())
+
+#: Words of a class or id by what they name. State words beside them ("has-sidebar", "comments-open") speak of another element.
+NAMED = {
+    CLASS: (
+        "ad ads advert advertisement advertising sponsor sponsored promo banner "  # adverts
+        "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc tabs header masthead topbar footer "  # frame
+        "sidebar aside widget related recommended trending newsletter subscribe signup login share sharing social "  # beside the text
+        "cookie cookies consent gdpr notice alert modal popup overlay paywall captcha tooltip hidden"  # over the text
+    ),
+    COMMENT: "comment comments commentlist discussion disqus replies responses",
+}
+STATE = frozenset("has no with without open closed enabled disabled on off left right".split())
+_CLAIMS = {w: kind for kind, words in NAMED.items() for w in words.split()}
+_ROLE_CLAIMS = {r: kind for roles, kind in ROLES.items() for r in roles.split()}
 
 
 class Tree:
     """Elements in page order, and the stream of texts with their elements; a text of None is a break."""
 
     def __init__(self, page: str):
-        self.tag, self.parent, self.words, self.gone, self.block, self.within = ["#root"], [0], [()], [0], [0], [False]
-        self.open: Counter[str] = Counter()
-        self.p_at: list[int] = []
+        self.tag, self.parent, self.names, self.claim, self.block, self.marked = ["#root"], [0], [""], [NONE], [0], [0]
+        #: Places in the stack: by tag, and of blocks.
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = [0]
         self.stream: list[tuple[int, str | None]] = []
         stack, at, size = [0], 0, len(page)
         while at < size:
@@ -77,146 +91,173 @@ class Tree:
     def _text(self, node: int, raw: str) -> None:
         self.stream.append((node, unescape(raw) if "&" in raw else raw))
 
+    def _top(self, tag: str) -> int:
+        """The highest place of an open tag in the stack, 0 for none."""
+        places = self.at.get(tag)
+        return places[-1] if places else 0
+
     def _cut(self, stack: list[int], k: int) -> None:
         """Closes what stands from place k of the stack on."""
         for node in stack[k:]:
-            self.open[self.tag[node]] -= 1
+            self.at[self.tag[node]].pop()
         del stack[k:]
-        while self.p_at and self.p_at[-1] >= k:
-            self.p_at.pop()
+        while self.blocks[-1] >= k:
+            self.blocks.pop()
 
     def _close(self, stack: list[int], tag: str) -> None:
         if tag not in INLINE:
             self.stream.append((stack[-1], None))
-        if not self.open[tag]:
-            return
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[k]] == tag:
-                self._cut(stack, k)
-                break
-            if tag in INLINE and self.tag[stack[k]] not in INLINE:
-                break  # an inline end does not close blocks
+        k = self._top(tag)
+        if k and (tag not in INLINE or k > self.blocks[-1]):  # an inline end does not close blocks
+            self._cut(stack, k)
 
     def _open(self, stack: list[int], tag: str, mark: str, at: int) -> None:
         if tag not in INLINE:
             self.stream.append((stack[-1], None))
             if tag not in VOID:
-                if self.p_at:
-                    self._cut(stack, self.p_at[0])
-                elif tag in GROUPED and any(self.open[x] for x in GROUPED[tag][0].split()):
+                if k := (self.at.get("p") or [0])[0]:
+                    self._cut(stack, k)
+                elif tag in GROUPED:  # an item that was left open ends here, unless a new list stands between
                     same, scope = GROUPED[tag]
-                    for k in range(len(stack) - 1, max(0, len(stack) - DEPTH), -1):
-                        name = self.tag[stack[k]]
-                        if name in scope:
-                            break
-                        if name in same.split():
-                            self._cut(stack, k)
-                            break
+                    bar = max(map(self._top, scope.split()))
+                    open_ = [k for k in map(self._top, same.split()) if k > bar]
+                    if open_:
+                        self._cut(stack, min(open_))
         if tag in VOID:
             return
         up = stack[-1]
-        words, gone = self._hints(tag, mark, at, up) if len(mark) > at + 1 else ((), self._against(tag, (), "", up))
+        names, claim = self._hints(tag, mark, at, up) if len(mark) > at + 1 else ("", self._claims(tag, "", "", up))
         self.tag.append(tag)
         self.parent.append(up)
-        self.words.append(words)
-        self.gone.append(gone)
-        self.block.append(self.block[up] if tag in INLINE else len(self.tag) - 1)
-        self.within.append(self.within[up] or tag in ("article", "main"))
+        self.names.append(names)
+        self.claim.append(claim)
+        me = len(self.tag) - 1
+        self.block.append(self.block[up] if tag in INLINE else me)
+        self.marked.append(me if tag in ("article", "main") else self.marked[up])
         if not (mark.endswith("/>") and tag in INLINE):
-            if tag == "p":
-                self.p_at.append(len(stack))
-            self.open[tag] += 1
-            stack.append(len(self.tag) - 1)
+            self.at.setdefault(tag, []).append(len(stack))
+            if tag not in INLINE:
+                self.blocks.append(len(stack))
+            stack.append(me)
 
-    def _hints(self, tag: str, mark: str, at: int, up: int) -> tuple[tuple[str, ...], int]:
+    def _hints(self, tag: str, mark: str, at: int, up: int) -> tuple[str, int]:
         found = {a.lower(): (b or c or d) for a, b, c, d in _ATTRIBUTE.findall(mark, at)}
-        words = tuple(w.lower() for w in _TOKEN.findall(f"{found.get('class', '')} {found.get('id', '')}"))
+        names = f"{found.get('class', '')} {found.get('id', '')}"
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-        return words, HARD if hidden else self._against(tag, words, found.get("role", "").lower(), up)
+        return found.get("class", ""), NEVER if hidden else self._claims(tag, names, found.get("role", "").lower(), up)
 
-    def _against(self, tag: str, words: tuple[str, ...], role: str, up: int) -> int:
-        """Whether an element says that it is not the article: surely, by its class, or not."""
+    def _claims(self, tag: str, names: str, role: str, up: int) -> int:
+        """What an element says that it is."""
         if tag in ("html", "body", "main"):
-            return 0
-        if tag in NEVER or tag in RAW or role in NEVER_ROLES or any(w in COMMENTS for w in words):
-            return HARD
-        if tag == "header":  # the head of an article is its own
-            return 0 if self.within[up] else HARD
-        return SOFT if tag != "article" and any(w in AGAINST for w in words) and not any(w in FOR for w in words) else 0
-
-    def left_out(self) -> list[bool]:
-        """Elements outside the article. A class does not count against what holds an article, nor if nothing is left else."""
-        n = len(self.tag)
-        holds = [False] * n
-        for i in range(n - 1, 0, -1):
-            marked = self.gone[i] != HARD and (self.tag[i] in ("article", "main") or any(w in FOR for w in self.words[i]))
-            if (holds[i] or marked) and self.gone[i] != HARD:
-                holds[self.parent[i]] = True
-        for least in (SOFT, HARD):
-            out = [False] * n
-            for i in range(1, n):
-                out[i] = out[self.parent[i]] or self.gone[i] >= least and not (self.gone[i] == SOFT and holds[i])
-            seen = [(i, len(x.strip())) for i, x in self.stream if x is not None and not out[i]]
-            if sum(n for _, n in seen) >= ENOUGH or any(n and self.within[i] for i, n in seen):
-                break
-        return out
+            return NONE
+        if tag in RAW:
+            return NEVER
+        if tag in FRAMES:
+            return FRAME
+        best = FORM if tag in ("form", "fieldset") else _ROLE_CLAIMS.get(role, NONE)
+        if tag == "header" and not self.marked[up]:  # the head of an article is its own
+            best = max(best, CLASS)
+        for name in names.split():
+            words = [w.lower() for w in _TOKEN.findall(name)]
+            if not any(w in STATE for w in words):
+                best = max([best, *(_CLAIMS.get(w, NONE) for w in words)])
+        return best
 
 
-def main_text(page: str | None) -> str:
-    """The main text of a page: blocks in page order, white space inside them and between them one space."""
-    if not page:
-        return ""
-    t = Tree(page)
-    t.out = t.left_out()
+def _sums(t: Tree, out: list[bool], linked: list[bool]) -> tuple[list[int], list[int], list[int]]:
+    """Characters, commas and linked characters of each block's own text."""
     n = len(t.tag)
-    linked = [False] * n
-    for i in range(1, n):
-        linked[i] = t.tag[i] == "a" or linked[t.parent[i]]
     own, commas, links = [0] * n, [0] * n, [0] * n
     for node, text in t.stream:
-        if text is not None and not t.out[node]:
+        if text is not None and not out[node]:
             size = len(text.strip())
             b = t.block[node]
             own[b] += size
             commas[b] += text.count(",") + text.count("、") + text.count("，")
             if linked[node]:
                 links[b] += size
-    total, inside = own[:], links[:]
-    for i in range(n - 1, 0, -1):
-        if t.tag[i] not in INLINE:
-            up = t.block[t.parent[i]]
-            total[up] += total[i]
-            inside[up] += inside[i]
-    scores: dict[int, float] = {}
+    return own, commas, links
+
+
+def _points(own: list[int], commas: list[int], links: list[int]) -> list[float]:
+    return [(size / 100 + c / 2) * (1 - x / size) if size else 0.0 for size, c, x in zip(own, commas, links, strict=True)]
+
+
+def _up(t: Tree, values: list) -> list:
+    """Sums over subtrees."""
+    total = values[:]
+    for i in range(len(values) - 1, 0, -1):
+        total[t.parent[i]] += total[i]
+    return total
+
+
+def _left_out(t: Tree, linked: list[bool]) -> list[bool]:
+    """Elements outside the article: those whose claim stands, with all in them."""
+    n = len(t.tag)
+    frame = [False] * n
+    for i in range(1, n):
+        frame[i] = frame[t.parent[i]] or t.claim[i] >= FRAME
+    prose = _up(t, _points(*_sums(t, frame, linked)))
+    slight = frame[:]  # in a part that makes a claim and holds little of the prose
+    for i in range(1, n):
+        slight[i] = frame[i] or slight[t.parent[i]] or t.claim[i] != NONE and prose[i] <= 0.25 * prose[0]
+    first = next((i for i in range(n) if t.tag[i] == "h1" and not slight[i]), None)
+    leads = _up(t, [int(i == first) for i in range(n)])
+    article = _up(t, [int(t.tag[i] in ("article", "main") and not frame[i] and t.claim[i] < COMMENT and prose[i] > 0) for i in range(n)])
+
+    def void(i: int) -> bool:
+        if t.claim[i] == COMMENT:  # readers may write more than the author, and each in an article
+            return bool(leads[i]) and prose[i] > 0.5 * prose[0] or prose[i] >= prose[0]
+        if article[0]:
+            return bool(article[i]) and not commented[i]
+        return bool(leads[i]) if first is not None else prose[i] > 0.5 * prose[0]
+
+    commented = [False] * n
+    for kinds in ((CLASS, FORM, COMMENT, FRAME, NEVER), (FRAME, NEVER), (NEVER,)):
+        out = [False] * n
+        for i in range(1, n):
+            up, kind = t.parent[i], t.claim[i]
+            out[i] = out[up] or (kind in kinds and (kind >= FRAME or not void(i)))
+            commented[i] = commented[up] or kind == COMMENT and out[i]
+        if any(text and not text.isspace() and not out[i] for i, text in t.stream):
+            break  # else nothing is left: weaker claims give way
+    return out
+
+
+def main_text(page: str | None) -> str:
+    """The main text of a page: blocks in page order, white space inside them and between them one space."""
+    if not page:
+        return ""
+    t = Tree(page)
+    n = len(t.tag)
+    linked = [False] * n
+    for i in range(1, n):
+        linked[i] = t.tag[i] == "a" or linked[t.parent[i]]
+    out = _left_out(t, linked)
+    own, commas, links = _sums(t, out, linked)
+    points = _points(own, commas, links)
+    total, inside, size = _up(t, points), _up(t, links), _up(t, own)
+    score = [0.0] * n
     for b in range(1, n):
-        if own[b] < 25 or t.out[b]:
-            continue
-        points = (1 + commas[b] + min(own[b] // 100, 3)) * (1 - links[b] / own[b])
-        at, level = (b if t.tag[b] in ("div", "article", "section", "main", "td", "body") else t.parent[b]), 0
-        at = t.block[at]
-        while at and t.tag[at] != "html" and level <= LEVELS:
-            if at not in scores:
-                scores[at] = BASE.get(t.tag[at], 0.0) + 25.0 * any(w in FOR for w in t.words[at]) - 25.0 * any(w in AGAINST for w in t.words[at])
-            scores[at] += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            level += 1
-            at = t.block[t.parent[at]]
-    final = {i: s * (1 - inside[i] / total[i]) if total[i] else 0.0 for i, s in scores.items()}
-    chosen = _chosen(t, final, own, total, inside)
+        if points[b] and not out[b]:
+            # a paragraph's points go to its container; bare text makes its own element one
+            at, share = (t.block[t.parent[b]] if t.tag[b] in TEXTUAL or t.tag[b] in ("li", "dd", "dt") else b), 1.0
+            for _ in range(LEVELS):
+                if not at or t.tag[at] == "html":
+                    break
+                score[at] += share * points[b]
+                share, at = share / 2, t.block[t.parent[at]]
+    chosen = _chosen(t, score, total, inside, size, out)
     take = [False] * n
-    for i in chosen:
-        take[i] = True
-    most = 0.5 * sum(total[c] for c in chosen)
-    for i in range(1, n):
-        take[i] = take[i] or take[t.parent[i]]
-        if take[i] and i not in chosen and t.tag[i] in ("ul", "ol", "div", "table", "dl", "section") and total[i] and inside[i] > 0.5 * total[i] and total[i] < most:
-            t.out[i] = True  # a list of links
-        t.out[i] = t.out[i] or t.out[t.parent[i]]
+    for i in range(n):
+        take[i] = i in chosen or (i > 0 and take[t.parent[i]])
+    _drop_menus(t, take, out, points, size, inside)
     parts: list[str] = []
     last = -1
     for node, text in t.stream:
         if text is None:
             parts.append(" ")
-        elif take[node] and not t.out[node]:
+        elif take[node] and not out[node]:
             if t.block[node] != last:
                 parts.append(" ")
                 last = t.block[node]
@@ -224,34 +265,47 @@ def main_text(page: str | None) -> str:
     return " ".join("".join(parts).split())
 
 
-def _chosen(t: Tree, final: dict[int, float], own: list[int], total: list[int], inside: list[int]) -> set[int]:
-    if not final:  # nothing long enough to score: what calls itself the article, else all that is not left out
-        marked = [i for i, tag in enumerate(t.tag) if tag in ("article", "main") and not t.out[i]]
-        return {max(marked, key=lambda i: (total[i], -i))} if marked else {0}
-    top = max(final, key=lambda i: (final[i], -i))
-    up = top
-    while up:  # the whole article, where the page marks it
-        if t.tag[up] in ("article", "main") and total[up]:
-            top = up if inside[up] <= 0.5 * total[up] else top
-            if t.tag[up] == "article":
-                break
-        up = t.parent[up]
-    chosen, bar = {top}, max(10.0, 0.2 * final.get(top, 0.0))
-    if t.tag[top] in ("body", "#root"):
-        return chosen
-    for i in range(1, len(t.tag)):
-        if i == top or t.parent[i] != t.parent[top] or t.out[i]:
-            continue
-        bonus = 0.2 * final.get(top, 0.0) if t.words[i] and t.words[i] == t.words[top] else 0.0
-        plain = t.tag[i] == "p" and own[i] and inside[i] <= 0.25 * own[i] and own[i] > 80
-        if final.get(i, 0.0) + bonus >= bar or plain:
-            chosen.add(i)
+def _chosen(t: Tree, score: list[float], total: list[float], inside: list[int], size: list[int], out: list[bool]) -> set[int]:
+    """The core and what belongs to it, beside it and beside its ancestors."""
+    n = len(t.tag)
+    plain = [size[i] > 0 and 2 * inside[i] <= size[i] for i in range(n)]
+    core = max((i for i in range(n) if not out[i]), key=lambda i: (score[i] * (1 - inside[i] / size[i]) if size[i] else 0.0, -i), default=0)
+    if not score[core]:  # no prose: what the page marks as the article, else all that is left
+        named = [i for i in range(n) if t.tag[i] in ("article", "main") and not out[i] and size[i]]
+        return {max(named, key=lambda i: (size[i], -i))} if named else {0}
+    if t.marked[core] and plain[t.marked[core]]:
+        return {t.marked[core]}
+    kids: dict[int, list[int]] = {}
+    for i in range(1, n):
+        if not out[i] and size[i]:
+            kids.setdefault(t.parent[i], []).append(i)
+    chosen, at, bar = {core}, core, NEAR * total[core]
+    while at and t.tag[at] not in ("body", "html"):
+        up = t.parent[at]
+        for i in kids.get(up, ()):
+            alike = t.tag[i] == t.tag[at] and (t.tag[i] == "section" or t.names[i] == t.names[at] != "")
+            text = t.tag[i] in TEXTUAL and t.tag[i] not in ("ul", "ol", "table") and at == core
+            if i != at and plain[i] and (total[i] >= bar or alike or text):
+                chosen.add(i)
+        at, bar = up, FAR * total[core]
     return chosen
 
 
+def _drop_menus(t: Tree, take: list[bool], out: list[bool], points: list[float], size: list[int], inside: list[int]) -> None:
+    """Outside a marked article, lists of nothing but links that stand before or after all prose are menus."""
+    prose = [i for i in range(len(t.tag)) if take[i] and points[i] >= 0.25 and not out[i]]
+    if not prose:
+        return
+    first, last = prose[0], prose[-1]
+    for i in range(1, len(t.tag)):
+        menu = t.tag[i] in ("ul", "ol") and take[i] and not t.marked[i] and size[i] and inside[i] == size[i] and not first < i < last
+        out[i] = out[i] or out[t.parent[i]] or bool(menu)
+
+
 def extract(pages: DataFrame, key: str = "page_id", html: str = "html", keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns of every row with ``text`` and ``n_chars``, the main text of the whole page.
 
+    Dropped are the parts that the module names, by structure first and by what they call themselves second.
     Null and empty pages, and pages without text, have an empty text. Repeated rows are extracted each;
     columns named like a result are replaced; an empty table gives no row.
     """
