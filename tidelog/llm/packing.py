@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 
 import numpy as np
@@ -22,7 +23,10 @@ from pyspark.sql import window as W
 from .shared import table
 
 CAPACITY = 2048
-SALTS = 64
+#: Groups that the pieces of a length are ranked in; those of full length, which may be most, in more.
+SALTS, FULL_SALTS = 64, 4096
+#: From so long a run of white space on, the library's own tokenizer is used: the faster one's pattern runs out of stack.
+LONG_RUN = re.compile(r"\s{100000}")
 END_ID = 0
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
@@ -50,6 +54,20 @@ def encoder(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
+@functools.lru_cache(maxsize=2)
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def token_ids(path: str, text: str) -> np.ndarray:
+    """The ids of a text of any length, without special tokens around it."""
+    if len(text) >= 100_000 and LONG_RUN.search(text):
+        return np.array(_library(path).encode(text, add_special_tokens=False).ids, np.uint32)
+    return encoder(path).encode_to_numpy(text, allowed_special="all")
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """``(start, length)`` of the pieces of a document of n ids: whole if it fits, else full pieces after a first one that may be shorter."""
     first = (n - 1) % capacity + 1
@@ -62,12 +80,11 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
     schema = f"{docs.select(key).schema[0].simpleString().replace(':', ' ')}, {PIECES}" + ", ids array<int>" * with_ids
 
     def run(batches):
-        enc = encoder(path)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             at, out, ids_out = [], [], []
             for i, t in enumerate(texts):
-                ids = np.append(enc.encode_to_numpy(t.as_py() or "", allowed_special="all"), np.uint32(END_ID)).astype("<u4")
+                ids = np.append(token_ids(path, t.as_py() or ""), np.uint32(END_ID)).astype("<u4")
                 for k, (s, n) in enumerate(cut(len(ids), capacity)):
                     part = ids[s : s + n]
                     at.append(i)
@@ -204,18 +221,24 @@ def places(done: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[int,
 def pack_pieces(made: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to written pieces; every sequence is filled without gaps from 0."""
     spark = made.sparkSession
-    made = made.withColumn("salt", F.pmod(F.xxhash64(F.col(key).cast("string"), "piece"), F.lit(SALTS)).cast("int"))
-    counts = made.groupBy("length", "salt").count().collect()  # at most capacity * SALTS rows, whatever the corpus
-    table_ = np.zeros((capacity + 1, SALTS), np.int64)
+    salts = F.when(F.col("length") == capacity, FULL_SALTS).otherwise(SALTS)
+    made = made.withColumn("salt", F.pmod(F.xxhash64(F.col(key).cast("string"), "piece", "ids_crc32"), salts).cast("int"))
+    counts = made.groupBy("length", "salt").count().collect()  # at most capacity * SALTS + FULL_SALTS rows, whatever the corpus
+    table_, full = np.zeros((capacity, SALTS), np.int64), np.zeros(FULL_SALTS, np.int64)
     for r in counts:
-        table_[r["length"], r["salt"]] = r["count"]
-    found = spark.sparkContext.broadcast((np.cumsum(table_, 1) - table_, places(plan(table_.sum(1), capacity), capacity)))
+        if r["length"] == capacity:
+            full[r["salt"]] = r["count"]
+        else:
+            table_[r["length"], r["salt"]] = r["count"]
+    hist = np.append(table_.sum(1), full.sum())
+    found = spark.sparkContext.broadcast((np.cumsum(table_, 1) - table_, np.cumsum(full) - full, places(plan(hist, capacity), capacity)))
 
     def run(frames):
-        before, where = found.value
+        before, before_full, where = found.value
         for f in frames:
-            length = f["length"].to_numpy()
-            rank = f.pop("rank").to_numpy() + before[length, f.pop("salt").to_numpy()]
+            length, salt = f["length"].to_numpy(), f.pop("salt").to_numpy()
+            whole = length == capacity
+            rank = f.pop("rank").to_numpy() + np.where(whole, before_full[salt], before[np.where(whole, 0, length), np.where(whole, 0, salt)])
             seq, off = np.zeros(len(f), np.int64), np.zeros(len(f), np.int64)
             order = np.argsort(length, kind="stable")
             bounds = np.flatnonzero(np.diff(length[order], prepend=-1))
