@@ -3,18 +3,22 @@
 Records hash by key into thousands of slots whose number never changes. Bytes are aggregated per slot,
 and a versioned slot-to-shard map, a table of as many rows as there are slots, is edited when loads
 drift: only slots that must move change shard. The map is bounded by the slot count, so it is planned
-on the driver and broadcast; rows are placed by one map-side lookup.
+on the driver; every version is stored, never changed, and rows are placed by the newest one as it is read back,
+in one map-side lookup.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
+from .shared import shared_dir
+
 SLOTS = 16384
 MAP_SCHEMA = T.StructType([
     T.StructField("version", T.LongType(), False), T.StructField("vslot", T.IntegerType(), False),
@@ -22,9 +26,12 @@ MAP_SCHEMA = T.StructType([
 ])
 
 
-def vslot(key: str, slots: int = SLOTS):
-    """The fixed slot of a record: decided by its key and the slot count alone. A null key has slot 0."""
-    return F.coalesce(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(slots)), F.lit(0)).cast("int")
+def vslot(key: str, slots: int = SLOTS, text: str | None = None):
+    """The fixed slot of a record: decided by its key and the slot count alone. Records without a key are spread by their text."""
+    at = F.xxhash64(F.col(key).cast("string"))
+    if text is not None:
+        at = F.when(F.col(key).isNotNull(), at).otherwise(F.xxhash64(F.col(text)))
+    return F.pmod(at, F.lit(slots)).cast("int")
 
 
 def slot_bytes(sized: DataFrame, slots: int = SLOTS) -> list[int]:
@@ -123,27 +130,40 @@ def map_table(spark, mapping: list[int], loads: list[int], version: int) -> Data
     return spark.createDataFrame([(version, s, d, loads[s]) for s, d in enumerate(mapping)], MAP_SCHEMA)
 
 
-def save_map(map_df: DataFrame, path: str) -> None:
-    map_df.coalesce(1).write.mode("append").parquet(path)
+def save_map(map_df: DataFrame, path: str, version: int) -> None:
+    """Store a version in a folder of its own; a version that exists is an error, so of two writers one fails."""
+    map_df.drop("version").coalesce(1).write.mode("errorifexists").parquet(f"{path.rstrip('/')}/version={version}")
 
 
 def load_map(spark, path: str, version: int | None = None) -> DataFrame:
-    """One version of a saved map, the newest by default."""
+    """One version of a stored map, the newest by default."""
     saved = spark.read.schema(MAP_SCHEMA).parquet(path)
     version = saved.agg(F.max("version")).first()[0] if version is None else version
     return saved.where(F.col("version") == version)
 
 
+def mapping_of(map_df: DataFrame) -> list[int]:
+    """The shard of each slot of one version, in slot order: as many rows as slots."""
+    return [r["shard"] for r in sorted(map_df.select("vslot", "shard").collect(), key=lambda r: r["vslot"])]
+
+
 def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
     """``(key, size, text_crc32, vslot)``: UTF-8 bytes plus 8 for the key. Null text: no bytes, checksum 0."""
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(key), (F.octet_length(body) + F.lit(8)).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), vslot(key, slots).alias("vslot"))
+    return docs.select(F.col(key), (F.octet_length(body) + F.lit(8)).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), vslot(key, slots, text).alias("vslot"))
+
+
+def _exists(spark, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def shard(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", slots: int = SLOTS, map_df: DataFrame | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """``(key, size, text_crc32, law, shard, slot, grown_shard, vslot)`` for every row of ``docs``.
 
-    Law ``bytes``: shard sizes are near equal, as the map is edited to the measured bytes per slot.
+    Law ``bytes``: shard sizes are near equal, as the map is edited to the measured bytes per slot. The map stored
+    at ``path`` is edited, its next version stored beside it and read back; where there is none (a new folder by
+    default) version 1 deals slots out in turn. An edit that changes nothing makes no version. Rows without a key have a slot by their text.
     ``slot`` numbers a shard's rows without gaps from 0 in the order (vslot, key, text_crc32, size):
     ranks are counted inside a slot and shifted by the counts of the slots before it, so no task
     holds a shard. Repeated rows are rows of their own; an empty table gives no row; columns other
@@ -155,10 +175,17 @@ def shard(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "t
     loads, counts = [0] * slots, [0] * slots
     for r in stat:
         loads[r["vslot"]], counts[r["vslot"]] = r["bytes"], r["n"]
-    if map_df is None:
-        mapping = rebalance(first_map(slots, shards), loads, shards)
-    else:
-        mapping = [r["shard"] for r in map_df.orderBy("vslot").collect()]
+    path = path or f"{shared_dir(spark).rstrip('/')}/maps/{uuid.uuid4().hex}"
+    if not _exists(spark, path):
+        save_map(map_table(spark, first_map(slots, shards), [0] * slots, 1), path, 1)
+    newest = load_map(spark, path)
+    old, version = mapping_of(newest), newest.first()["version"]
+    if len(old) != slots or max(old) >= shards:
+        raise ValueError("the stored map has other slots or more shards")
+    edited = rebalance(old, loads, shards)
+    if edited != old:
+        save_map(map_table(spark, edited, loads, version + 1), path, version + 1)
+    mapping = mapping_of(load_map(spark, path))
     before, base = [0] * slots, [0] * shards
     for s, d in enumerate(mapping):
         before[s], base[d] = base[d], base[d] + counts[s]
