@@ -186,7 +186,7 @@ def _replies(batches):
             for b, d, _, _ in mine:
                 sel = at[lo : lo + len(d)]
                 lo += len(d)
-                for c, v in zip(out, (b, k, bucket, _pack(n[sel].astype("<u4"), m[sel].astype("<u4"))), strict=True):
+                for c, v in zip(out, (b, k, bucket, _pack(n[sel].astype("<u8"), m[sel].astype("<u8"))), strict=True):
                     c.append(v)
             if k == 0:
                 totals = np.array([n.sum(), (n > 0).sum(), m.sum()], np.int64)
@@ -201,7 +201,7 @@ def _answered(block: Block, kind: list[int], bucket: list[int], blobs: list[byte
     asked = block.asked()
     for k, (keys, _) in enumerate(asked):
         parts = sorted((b, x) for kk, b, x in zip(kind, bucket, blobs, strict=True) if kk == k)
-        cols = [_unpack(x, "<u4", "<u4") for _, x in parts]
+        cols = [_unpack(x, "<u8", "<u8") for _, x in parts]
         found.append([np.concatenate([c[j] for c in cols]).astype(np.int64) if cols else np.zeros(len(keys), np.int64) for j in (0, 1)])
     uni, pair = asked[0][1], asked[1][1]
     out = []
