@@ -93,11 +93,11 @@ def test_html_operator(spark):
     assert html.extract(df.where("page_id > 9")).count() == 0
 
 
-TURNS = "pair_id long, side int, turn long, role string, text string, at string, part int"
+TURNS = "pair_id long, side int, turn long, role string, text string, at string, part int, fork string, said int, LEAD int"
 
 
 def chat(spark, rows):
-    return spark.createDataFrame([(*r, "x", 9) for r in rows], TURNS)
+    return spark.createDataFrame([(*r, "x", 9, "f", 1, 2) for r in rows], TURNS)
 
 
 def test_preferences_share_the_common_prefix_once(spark):
@@ -117,6 +117,22 @@ def test_preferences_share_the_common_prefix_once(spark):
     assert preferences.format_pairs(chat(spark, [])).count() == 0
 
 
+def test_preferences_of_swapped_answers(spark):
+    rows = [(0, 0, "user", "q0"), (0, 1, "assistant", "a0"), (0, 2, "user", "more"), (0, 3, "assistant", "b0"), (0, 4, "user", "bye"), (1, 0, "user", "q1"), (1, 1, "assistant", None), (2, 0, "user", "alone"), (4, 0, "assistant", "x"), (5, 0, "assistant", "x"), (None, 0, "user", "n")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id long, turn long, role string, text string, fork int, side int")
+    made = preferences.swapped(df)
+    assert sorted((r["pair_id"], r["side"], r["turn"], r["text"]) for r in made.collect() if r["pair_id"] == 0) == [(0, 0, 0, "q0"), (0, 0, 1, "a0"), (0, 0, 2, "more"), (0, 0, 3, "b0"), (0, 0, 4, "bye"), (0, 1, 0, "q0"), (0, 1, 1, "a0"), (0, 1, 2, "more"), (0, 1, 3, ""), (0, 1, 4, "bye")]
+    got = {r["pair_id"]: r for r in preferences.format_pairs(made).collect()}
+    assert {k: r["n_prompt_turns"] for k, r in got.items()} == {0: 3, 1: 1, 2: 1, 4: 1, 5: 1}
+    assert got[1]["rejected"] == "<|assistant|>\nb0\n<|end|>\n" and got[1]["chosen"] == "<|assistant|>\n\n<|end|>\n"
+    assert got[4]["chosen"] == got[4]["rejected"] == ""
+
+
+def test_preferences_query_shares_most_turns(spark, sf_dir):
+    r = QUERIES["op2_preference_formatting"](spark, sf_dir).selectExpr("count(*) AS n", "count_if(n_prompt_turns > 0) AS p", "count_if(chosen <> '' AND rejected <> '') AS c").first()
+    assert r["p"] > 0.9 * r["n"] and r["c"] > 0.6 * r["n"]
+
+
 @pytest.fixture(scope="module")
 def lat():
     return segmentation.lattices(segmentation.default_model(), 0.3)

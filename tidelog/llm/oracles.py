@@ -10,9 +10,15 @@ def _words(text: str) -> str:
 _ASCII_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP2 = """
-WITH t AS (
-  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
-  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+n AS (
+  SELECT conv_id, turn AS at, max(coalesce(text, '')) AS answer FROM c
+  WHERE role = 'assistant' AND (conv_id, turn) IN (SELECT (conv_id, max(turn)) FROM c WHERE role = 'assistant' GROUP BY conv_id) GROUP BY conv_id, turn),
+t AS (
+  SELECT conv_id AS pair_id, 0 AS side, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c
+  UNION ALL
+  SELECT c.conv_id, 1, c.turn, coalesce(c.role, ''), coalesce(CASE WHEN c.role = 'assistant' AND c.turn = n.at AND o.answer IS NOT NULL THEN o.answer ELSE c.text END, '')
+  FROM c LEFT JOIN n ON n.conv_id = c.conv_id LEFT JOIN n o ON o.conv_id = xor(c.conv_id, 1)),
 d AS (
   SELECT pair_id, turn, list_sort(list(role || chr(31) || text) FILTER (WHERE side = 0)) AS a, list_sort(list(role || chr(31) || text) FILTER (WHERE side = 1)) AS b
   FROM t GROUP BY pair_id, turn),

@@ -24,11 +24,32 @@ def rendered(turns: DataFrame) -> DataFrame:
 
 
 def prefix_lengths(turns: DataFrame) -> DataFrame:
-    """``(pair_id, fork)``: the first turn number at which the sides differ or one has none; null if they are equal."""
-    t = turns.groupBy("pair_id", "turn").agg(*(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct(F.coalesce("role", F.lit("")).alias("r"), F.coalesce("text", F.lit("")).alias("t"))))).alias(f"s{s}") for s in (0, 1)))
+    """``(pair_id, fork)``: the first turn number at which the sides differ or one has none; null if they are equal.
+
+    Turns are compared by a 256-bit hash of role and text, so texts don't travel for it.
+    """
+    said = F.sha2(F.to_json(F.struct(F.coalesce("role", F.lit("")).alias("r"), F.coalesce("text", F.lit("")).alias("t"))), 256)
+    t = turns.select("pair_id", "turn", "side", F.unhex(said).alias("h"))
+    t = t.groupBy("pair_id", "turn").agg(*(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("h")))).alias(f"s{s}") for s in (0, 1)))
     return t.groupBy("pair_id").agg(F.min(F.when(F.col("s0") != F.col("s1"), F.col("turn"))).alias("fork"))
 
 
+def swapped(turns: DataFrame, learned: str = LEARNED) -> DataFrame:
+    """Preference pairs of ``turns(conv_id, turn, role, text)``: ``(pair_id, side, turn, role, text)``, one pair a conversation.
+
+    The chosen side is the conversation. The rejected side is the same with its last turn of ``learned`` answered by the text of
+    the last such turn of the conversation whose number differs in the lowest bit. Without either turn the sides are equal. Of
+    several rows of the last turn's number that are learned, each is answered so. Rows without conversation or turn number are no turns.
+    """
+    t = turns.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "role", "text")
+    mine = t.where(F.col("role") == learned).groupBy("conv_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("last"))
+    other = mine.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("last.text").alias("answer"))
+    plan = mine.join(other, "conv_id").select("conv_id", F.col("last.turn").alias("at"), "answer")
+    sides = t.join(plan, "conv_id", "left").withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
+    text = F.when((F.col("side") == 1) & (F.col("role") == learned) & (F.col("turn") == F.col("at")), F.col("answer")).otherwise(F.col("text"))
+    return sides.select(F.col("conv_id").alias("pair_id"), "side", "turn", "role", text.alias("text"))
+
+
 def format_pairs(turns: DataFrame) -> DataFrame:
     """One row per pair of ``turns(pair_id, side, turn, role, text)``, side 0 chosen and 1 rejected.
 
@@ -36,9 +57,9 @@ def format_pairs(turns: DataFrame) -> DataFrame:
     the first that differs in role or text; the completions the rest. Masks are spans [start, end) of a completion, in
     characters, that are learned: texts of the assistant and their end marks. Null roles and texts are empty.
     Rows without pair or turn number are not turns. Several rows of one turn number stand in the order (role, text). A
-    missing side has an empty completion and the prompt is then empty. An empty table gives no row.
+    missing side has an empty completion and the prompt is then empty. Other columns are not read. An empty table gives no row.
     """
-    t = rendered(turns.where("pair_id IS NOT NULL AND turn IS NOT NULL"))
+    t = rendered(turns.select("pair_id", "side", "turn", "role", "text").where("pair_id IS NOT NULL AND turn IS NOT NULL"))
     t = t.join(prefix_lengths(t), "pair_id")
     shared = F.col("fork").isNull() | (F.col("turn") < F.col("fork"))
     part = F.when(shared, F.lit(2)).otherwise(F.col("side"))

@@ -19,9 +19,8 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2n and 2n + 1 are the chosen and the rejected side of pair n; mask spans as text."""
-    turns = _read(spark, sf_dir, "conversations").select(F.expr("conv_id div 2").alias("pair_id"), F.pmod("conv_id", F.lit(2)).alias("side"), "turn", "role", "text")
-    made = preferences.format_pairs(turns)
+    """Each conversation is chosen over itself with another's last answer; mask spans as text."""
+    made = preferences.format_pairs(preferences.swapped(_read(spark, sf_dir, "conversations")))
 
     def spans(c: str):
         return F.array_join(F.transform(c, lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), ",")
