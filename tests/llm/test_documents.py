@@ -138,9 +138,13 @@ def test_substring_removal(docs, awkward, no_docs):
     assert substring.remove(no_docs).count() == 0
 
 
-def test_short_windows_against_brute_force(spark):
+@pytest.mark.parametrize("limits", [{}, {"LEAST_BITS": 10, "MOST_BITS": 10}, {"COMMON": 2, "FLUSH": 500}])
+def test_short_windows_against_brute_force(spark, monkeypatch, limits):
+    """Also with a filter that is full, and with most minimisers common."""
     import random
 
+    for name, value in limits.items():
+        monkeypatch.setattr(substring, name, value)
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(60)))) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)

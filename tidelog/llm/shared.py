@@ -16,6 +16,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def size_hint(df: DataFrame) -> int:
+    """The optimizer's estimate of the bytes of ``df``, without reading it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a local one is chosen only where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -8,8 +8,8 @@ are sorted and equal ones find the smallest document that starts them.
 What keeps this linear and small:
 
 * Only super-k-mers whose minimiser occurs in two documents or more travel: the others hold no window
-  of two documents. A Bloom filter of fixed size tells them; it has no false negatives, and when full
-  it lets more strings through, never fewer.
+  of two documents. A Bloom filter tells them, which grows with the input up to a bound; it has no false
+  negatives, and when full it lets more strings through, never fewer.
 * Minimisers that occur very often come last in the order, so windows around a common passage are
   spread by their rarer words. The list of those is bounded.
 * Equal super-k-mers are combined in each task before the shuffle, keeping the smallest document, so
@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .shared import partitions, table
+from .shared import partitions, size_hint, table
 
 WINDOW, MMER = 50, 10
-BLOOM_BITS = 26
+#: Bits of the Bloom filter: one for so many bytes of input, within these powers of two (32 MB at most).
+BYTES_A_BIT, LEAST_BITS, MOST_BITS = 4, 18, 28
 #: A minimiser that occurs this often counts as common; so many are listed at most.
 COMMON, MOST_COMMON = 500, 1 << 18
 FLUSH = 1_000_000
@@ -44,7 +45,7 @@ class Runs:
         n = len(w.hashes) - k + 1
         self.words = w
         if n <= 0:
-            self.min = self.content = np.zeros(0, K.U)
+            self.min = self.content = self.check = np.zeros(0, K.U)
             self.row = self.at = self.size = np.zeros(0, np.int64)
             return
         order = K.long_grams(w.hashes, m)
@@ -67,7 +68,10 @@ class Runs:
         first = at[begin] if len(at) else at
         self.min, self.row, self.size = least[first], rows[first], size
         self.at = first - w.first[self.row]
-        self.content = K._pair(whole[first], whole[first + size - 1] + size.astype(K.U))
+        # two hashes of the outer windows and the count: strings are told apart by both
+        outer, count = (whole[first], whole[first + size - 1]), size.astype(K.U)
+        with np.errstate(over="ignore"):
+            self.content, self.check = K._pair(outer[0], outer[1] + count), K._pair(K.mix(outer[1]), outer[0] - count)
 
     def strings(self, which: np.ndarray, k: int) -> list[bytes]:
         w = self.words
@@ -84,21 +88,31 @@ def _runs(batches, k: int, m: int, common: np.ndarray):
         ids = part.column(0)
         if ids.null_count:
             ok = ids.is_valid().to_numpy(zero_copy_only=False)[r.row]
-            for name in ("min", "content", "row", "at", "size"):
+            for name in ("min", "content", "check", "row", "at", "size"):
                 setattr(r, name, getattr(r, name)[ok])
             ids = ids.fill_null(0)
         yield r, ids.to_numpy(zero_copy_only=False)[r.row]
 
 
-def _segment_bits(buckets: int) -> int:
-    return BLOOM_BITS - (buckets.bit_length() - 1)
+def _changes(*keys: np.ndarray) -> np.ndarray:
+    """Where any of some parallel sorted keys differs from the row before; the first row does."""
+    out = np.ones(len(keys[0]), bool)
+    out[1:] = False
+    for k in keys:
+        out[1:] |= k[1:] != k[:-1]
+    return out
+
+
+def filter_bits(size: int) -> int:
+    """The power of two of a filter's bits for an input of so many bytes."""
+    return min(MOST_BITS, max(LEAST_BITS, (size // BYTES_A_BIT).bit_length()))
 
 
 class Shared:
     """The Bloom filter of minimisers of two documents or more, in one segment per bucket."""
 
-    def __init__(self, segments: dict[int, bytes], buckets: int):
-        self.bits = _segment_bits(buckets)
+    def __init__(self, segments: dict[int, bytes], buckets: int, bits: int):
+        self.bits = bits - (buckets.bit_length() - 1)
         self.data = np.zeros((buckets, 1 << (self.bits - 3)), np.uint8)
         for b, z in segments.items():
             self.data[b] = np.frombuffer(zlib.decompress(z), np.uint8)
@@ -115,7 +129,7 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return K.mix(keys ^ K.U(0xB0C4E7)) >> K.U(65 - buckets.bit_length())
 
 
-def shared_minimisers(docs: DataFrame, k: int, m: int, common: np.ndarray, buckets: int):
+def shared_minimisers(docs: DataFrame, k: int, m: int, common: np.ndarray, buckets: int, filter_: int):
     """One pass: Bloom segments by bucket, and the commonest minimisers."""
 
     def send(batches):
@@ -152,7 +166,7 @@ def shared_minimisers(docs: DataFrame, k: int, m: int, common: np.ndarray, bucke
         yield from flush()
 
     def meet(batches):
-        bits, most = _segment_bits(buckets), max(1, MOST_COMMON // buckets)
+        bits, most = filter_ - (buckets.bit_length() - 1), max(1, MOST_COMMON // buckets)
 
         def close(bucket, blobs):
             key, lo, gap, n = (np.concatenate(c) for c in zip(*(np.frombuffer(x, np.int64).reshape(4, -1) for x in blobs), strict=True))
@@ -180,7 +194,7 @@ def shared_minimisers(docs: DataFrame, k: int, m: int, common: np.ndarray, bucke
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(close(at, blobs), kinds, strict=True)], names)
 
     sent = docs.mapInArrow(send, "bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket")
-    rows = sent.mapInArrow(meet, "bucket int, bloom binary, common binary").collect()  # 2^BLOOM_BITS bits and MOST_COMMON keys at most
+    rows = sent.mapInArrow(meet, "bucket int, bloom binary, common binary").collect()  # 2^MOST_BITS bits and MOST_COMMON keys at most
     often = np.concatenate([np.zeros(0, K.U), *(np.frombuffer(r["common"], K.U) for r in rows)])
     return {r["bucket"]: r["bloom"] for r in rows}, often
 
@@ -189,16 +203,17 @@ def repeated_ranges(docs: DataFrame, k: int = WINDOW, m: int = MMER) -> DataFram
     """``(doc_id, ranges)``: word ranges [start, end) covered by windows that a smaller document starts too."""
     spark = docs.sparkSession
     buckets = 1 << max(6, (partitions(spark) - 1).bit_length())
-    buckets = min(buckets, 1 << (BLOOM_BITS - 10))
-    segments, common = shared_minimisers(docs, k, m, np.zeros(0, K.U), buckets)
+    bits = filter_bits(size_hint(docs))
+    buckets = min(buckets, 1 << (bits - 8))
+    segments, common = shared_minimisers(docs, k, m, np.zeros(0, K.U), buckets, bits)
     if len(common):
         common = np.unique(common & K.U((1 << 63) - 1))
-        segments, _ = shared_minimisers(docs, k, m, common, buckets)
+        segments, _ = shared_minimisers(docs, k, m, common, buckets, bits)
     held = spark.sparkContext.broadcast((segments, common))
 
     def wanted(batches):
         segs, often = held.value
-        bloom = Shared(segs, buckets)
+        bloom = Shared(segs, buckets, bits)
         for r, doc in _runs(batches, k, m, often):
             which = np.flatnonzero(bloom.has(r.min))
             yield r, doc, which
@@ -210,22 +225,22 @@ def repeated_ranges(docs: DataFrame, k: int = WINDOW, m: int = MMER) -> DataFram
         def flush():
             if not kept:
                 return
-            low, content, doc, n, text = (np.concatenate(c) for c in zip(*kept, strict=True))
+            low, content, check, doc, n, text = (np.concatenate(c) for c in zip(*kept, strict=True))
             kept.clear()
-            order = np.lexsort((doc, content))
-            content, doc, low, n, text = content[order], doc[order], low[order], n[order], text[order]
-            cut = np.flatnonzero(np.r_[True, content[1:] != content[:-1]])
-            yield pa.RecordBatch.from_arrays([pa.array(K.signed(low[cut])), pa.array(K.signed(content[cut])), pa.array(doc[cut]), pa.array(np.add.reduceat(n, cut)), pa.array(text[cut].tolist(), pa.string())], ["minimiser", "content", "doc", "n", "packed"])
+            order = np.lexsort((doc, check, content))
+            content, check, doc, low, n, text = content[order], check[order], doc[order], low[order], n[order], text[order]
+            cut = np.flatnonzero(_changes(content, check))
+            yield pa.RecordBatch.from_arrays([pa.array(K.signed(low[cut])), pa.array(K.signed(content[cut])), pa.array(K.signed(check[cut])), pa.array(doc[cut]), pa.array(np.add.reduceat(n, cut)), pa.array(text[cut].tolist(), pa.string())], ["minimiser", "content", "check", "doc", "n", "packed"])
 
         for r, doc, which in wanted(batches):
             if len(which):
                 # equal strings of a chunk are packed once
-                order = which[np.lexsort((doc[which], r.content[which]))]
-                cut = np.flatnonzero(np.r_[True, r.content[order][1:] != r.content[order][:-1]])
+                order = which[np.lexsort((doc[which], r.check[which], r.content[which]))]
+                cut = np.flatnonzero(_changes(r.content[order], r.check[order]))
                 one = order[cut]
                 text = np.empty(len(one), object)
                 text[:] = r.strings(one, k)
-                kept.append((r.min[one], r.content[one], doc[one], np.diff(np.r_[cut, len(order)]), text))
+                kept.append((r.min[one], r.content[one], r.check[one], doc[one], np.diff(np.r_[cut, len(order)]), text))
                 held_bytes += sum(map(len, text))
             if held_bytes > 24_000_000:
                 yield from flush()
@@ -258,19 +273,19 @@ def repeated_ranges(docs: DataFrame, k: int = WINDOW, m: int = MMER) -> DataFram
 
     def places(batches):
         for r, doc, which in wanted(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(K.signed(r.content[which])), pa.array(doc[which]), pa.array(r.at[which])], ["content", "doc_id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(K.signed(r.content[which])), pa.array(K.signed(r.check[which])), pa.array(doc[which]), pa.array(r.at[which])], ["content", "check", "doc_id", "at"])
 
-    sent = docs.mapInArrow(strings, "minimiser long, content long, doc long, n long, packed string").repartition("minimiser").sortWithinPartitions("minimiser", "content", "doc")
-    owners = sent.mapInArrow(count, "content long, runs array<struct<o:int,n:int,owner:long>>")
+    sent = docs.mapInArrow(strings, "minimiser long, content long, check long, doc long, n long, packed string").repartition("minimiser").sortWithinPartitions("minimiser", "content", "check", "doc")
+    owners = sent.mapInArrow(count, "content long, check long, runs array<struct<o:int,n:int,owner:long>>")
     owners = table(owners, "owners")
-    hits = docs.mapInArrow(places, "content long, doc_id long, at long").join(owners, "content").select("doc_id", "at", F.explode("runs").alias("r")).where("r.owner < doc_id")
+    hits = docs.mapInArrow(places, "content long, check long, doc_id long, at long").join(owners, ["content", "check"]).select("doc_id", "at", F.explode("runs").alias("r")).where("r.owner < doc_id")
     return hits.groupBy("doc_id").agg(F.collect_set(F.struct((F.col("at") + F.col("r.o")).alias("s"), (F.col("at") + F.col("r.o") + F.col("r.n") + k - 1).alias("e"))).alias("ranges"))
 
 
 def _owners(batches: list[pa.RecordBatch], k: int):
     t = pa.Table.from_batches(batches).combine_chunks()
-    content, doc, n = (t.column(i).to_numpy() for i in (1, 2, 3))
-    data, offs = K.buffers(t.column(4).chunk(0) if t.num_rows else pa.array([], pa.string()))
+    content, check, doc, n = (t.column(i).to_numpy() for i in (1, 2, 3, 4))
+    data, offs = K.buffers(t.column(5).chunk(0) if t.num_rows else pa.array([], pa.string()))
     w = K.tokenize(data, offs)
     windows = w.counts() - k + 1
     row = np.repeat(np.arange(len(windows)), windows)
@@ -286,8 +301,8 @@ def _owners(batches: list[pa.RecordBatch], k: int):
     owner = np.empty(len(row), np.int64)
     owner[order] = np.repeat(np.minimum.reduceat(doc[row][order], cut), np.diff(np.r_[cut, len(row)]))
     # of equal strings one is answered, if another document could be touched by the answer
-    by = np.lexsort((doc, content))
-    lead = np.r_[True, content[by][1:] != content[by][:-1]]
+    by = np.lexsort((doc, check, content))
+    lead = _changes(content[by], check[by])
     total = np.add.reduceat(n[by], np.flatnonzero(lead))
     first = by[lead]
     own = np.zeros(len(windows), bool)
@@ -309,7 +324,8 @@ def _owners(batches: list[pa.RecordBatch], k: int):
         pa.array(np.r_[heads, len(begin)].astype(np.int32)),
         pa.StructArray.from_arrays([pa.array(o[begin].astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(owner[begin])], ["o", "n", "owner"]),
     )
-    yield pa.RecordBatch.from_arrays([pa.array(content[row[begin[heads]]]), runs], ["content", "runs"])
+    at = row[begin[heads]]
+    yield pa.RecordBatch.from_arrays([pa.array(content[at]), pa.array(check[at]), runs], ["content", "check", "runs"])
 
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WINDOW, m: int = MMER, keep: list[str] | None = None) -> DataFrame:
