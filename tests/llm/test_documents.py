@@ -224,6 +224,50 @@ def test_quality_estimate_is_the_robust_one(spark):
     assert quality.chi_square_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3)
 
 
+def test_quality_concentration_against_all_halves(spark):
+    """Of all halves of a small group, the one of least determinant: the steps come close, and both leave the outliers out."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(16, 5)) * [3.0, 1.0, 2.0, 2.0, 2.0] + [10.0, 8.0, 9.0, 9.0, 9.0]
+    x[11:, 2] += 90
+    halves = np.array(list(combinations(range(16), 8)))
+    part = x[halves] - x[halves].mean(1, keepdims=True)
+    cov = np.einsum("hni,hnj->hij", part, part) / 8
+    dets = np.linalg.slogdet(cov)[1]
+    best = int(dets.argmin())
+    assert not set(halves[best]) & set(range(11, 16))
+    factor = quality.SHARE / quality.chi_square_cdf(quality.chi_square_quantile(quality.SHARE, 5), 7)
+    names = ", ".join(f"{c} double" for c in quality.XS)
+    df = spark.createDataFrame([("g", *map(float, r), 3.0) for r in x], f"g string, {names}, x_lines double")
+    got = quality.concentrated(df).first()
+    assert got["m_x_sym"] < 30
+    assert dets[best] + 5 * np.log(factor) - 1e-6 <= got["ld"] <= np.partition(dets, len(dets) // 20)[len(dets) // 20] + 5 * np.log(factor)
+    made = quality.estimates(df).first()
+    d2 = [sum(v * v for v in np.linalg.solve(np.array([[made[f"l_{i}_{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)]), row - [made[f"m_{c}"] for c in quality.XS])) for row in x]
+    assert [d > quality._limit() for d in d2] == [False] * 11 + [True] * 5
+
+
+def test_quality_of_copies_and_of_tiny_groups(spark):
+    """Copies of one text in most of a source don't make others outliers; sources and languages of few rows are judged too."""
+    import random
+
+    from tests.llm.conftest import prose
+
+    rng = random.Random(11)
+    copy = prose(rng, 200)
+    rows = [(i, prose(rng, rng.randrange(30, 900)), "en", "s") for i in range(60)] + [(100 + i, copy, "en", "s") for i in range(400)]
+    rows += [(1000 + i, prose(rng, rng.randrange(30, 900)), "en", f"t{i}") for i in range(6)] + [(2000, prose(rng, 300), None, None)]
+    junk = " ".join(f"{w}***" for w in prose(rng, 150).split())
+    rows += [(3000, junk, "en", "t0"), (3001, junk, "xx", "s"), (3002, junk, None, "u")]
+    schema = "doc_id long, text string, lang string, source string, _qt string, _qb int, x_len double, g string, cut int"
+    out = quality.judge(spark.createDataFrame([(*r, "a", 1, 2.0, "g", 3) for r in rows], schema))
+    assert {"_qt", "_qb", "x_len", "g", "cut"} <= set(out.columns)
+    got = {r["doc_id"]: r["kept"] for r in out.collect()}
+    assert {k for k, kept in got.items() if not kept} == {3000, 3001, 3002}
+    assert {"_qt", "_qk"} <= set(quality.base_statistics(spark.createDataFrame([("a b", "c", 1)], "text string, _qt string, _qk int")).columns)
+
+
 def test_sharding_law_of_bytes(docs, awkward, no_docs):
     rows = sharding.shard(docs, shards=5).collect()
     size = defaultdict(int)
