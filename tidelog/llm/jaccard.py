@@ -31,14 +31,15 @@ SHINGLE, PERCENT = 5, 80
 #: Seeds of the token orders; the first one makes the buckets.
 ORDERS = (0x0D1, 0x0D2, 0x0D3)
 #: A token of so many documents is common; a posting list of so many classes is looked at anew; so many tokens are listed.
-COMMON, LONG_LIST, MOST_COMMON, ROUNDS = 64, 1000, 1 << 19, 3
-#: Rounds of stars; pairs for each row that lists may still make before long ones give way.
-STARS, MOST_PAIRS = 3, 40
+COMMON, LONG_LIST, MOST_COMMON, ROUNDS = 64, 64, 1 << 19, 2
+#: Rounds of stars; pairs for each row that lists may still make before long ones give way; a later star is worth its
+#: while if lists make fewer pairs than this for each class that asks.
+STARS, MOST_PAIRS, FEW = 3, 4, 1000
 #: Classes of a packed piece of a list.
-PIECE = 256
+PIECE = 64
 #: Tokens of a block of classes that are compared in one place, and pairs of a place.
 CELL, PAIRS = 500_000, 2048
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Bits of a filter of ids at most (16 MB), and its parts.
 MOST_BITS, SEGMENTS = 27, 16
 
@@ -291,12 +292,12 @@ def id_filter(ids: DataFrame) -> dict[int, bytes]:
     return {r["s"]: bytes(r["bits"]) for r in rows}
 
 
-def sifted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose ``doc_id`` is among the wanted ones, and some others; nothing is shuffled."""
+def sifted(rows: DataFrame, wanted: DataFrame, then=None, schema: str | None = None) -> DataFrame:
+    """The rows whose ``doc_id`` is among the wanted ones, and some others; nothing is shuffled. ``then`` goes on with their batches."""
     held = rows.sparkSession.sparkContext.broadcast(id_filter(wanted))
     names = rows.columns
 
-    def run(batches):
+    def sift(batches):
         segs = {}
         for s, b in held.value.items():
             data = np.frombuffer(zlib.decompress(b), np.uint8)
@@ -310,7 +311,10 @@ def sifted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             if found.any():
                 yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(pa.array(found))
 
-    return rows.where("doc_id IS NOT NULL").select(*names, _segment("doc_id").alias("s")).mapInArrow(run, rows.schema)
+    def run(batches):
+        yield from then(sift(batches)) if then else sift(batches)
+
+    return rows.where("doc_id IS NOT NULL").select(*names, _segment("doc_id").alias("s")).mapInArrow(run, schema or rows.schema)
 
 
 def cells(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -391,7 +395,7 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, common: np.ndar
 
     placed = cells(pairs, reps.select("cls", "n"))
     wanted = table(members(placed, reps), "wanted")
-    forms = table(sifted(docs.select("doc_id", "text"), wanted).mapInArrow(form, "doc_id long, cls long, n long, fronts binary, text string"), "forms")
+    forms = table(sifted(docs.select("doc_id", "text"), wanted, form, "doc_id long, cls long, n long, fronts binary, text string"), "forms")
     signs = forms.join(wanted, ["doc_id", "cls"]).groupBy("cls").agg(F.first("n").alias("n"), F.first("fronts").alias("payload"))
     left = compared(
         placed, signs, lambda n, column: [(size, np.frombuffer(x, np.uint32).reshape(len(ORDERS) - 1, -1)) for size, x in zip(n, column.to_pylist(), strict=True)],
@@ -488,7 +492,7 @@ def _joined(src: DataFrame, k: int, percent: int) -> DataFrame:
     shift = 64 - (buckets.bit_length() - 1) - 32
     rows, common = classes(src, shift, k)
     reps = table(rows.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "reps")
-    size = reps.select("cls", "n")
+    size, count = reps.select("cls", "n"), rows.count()
     none = spark.createDataFrame([], "a long, b long")
     links, tried = none, none
     found = None  # components of the links so far
@@ -509,8 +513,9 @@ def _joined(src: DataFrame, k: int, percent: int) -> DataFrame:
             apart = parts.groupBy("list").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).where("pairs > 0")
             apart = table(apart, "apart")
             spent.append(apart)
-            much = (apart.agg(F.sum("pairs")).first()[0] or 0) > MOST_PAIRS * rows.count()
-            if turn == STARS or not much and found is not None:
+            much = apart.agg(F.sum("pairs")).first()[0] or 0
+            many = much > MOST_PAIRS * count
+            if turn == STARS or not many and found is not None:
                 break
             star = at.join(tops, "list").withColumn("a", F.col("t.cls"))
             if found is None:
@@ -522,7 +527,8 @@ def _joined(src: DataFrame, k: int, percent: int) -> DataFrame:
             star = _enough(star, percent).join(tried, ["a", "b"], "left_anti").groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
             star = table(star, "star")
             spent.append(star)
-            if star.isEmpty():
+            asked = star.count()
+            if not asked or found is not None and asked * FEW < much:
                 break
             good = verified(src, star, reps, common, shift, k, percent)
             tried, links = tried.unionByName(star), links.unionByName(good)
@@ -530,7 +536,7 @@ def _joined(src: DataFrame, k: int, percent: int) -> DataFrame:
             if good.isEmpty():
                 break
             found = components(links)
-        if last or not much:
+        if last or not many:
             break
         lots = long.orderBy(F.desc("size"), "list").limit(MOST_COMMON).select("list").collect()
         late = np.union1d(common, K.unsigned(np.array([r[0] for r in lots], np.int64)))
