@@ -119,9 +119,8 @@ def classes(docs: DataFrame, shift: int, k: int) -> tuple[DataFrame, np.ndarray]
             for u in shingle_sets(data, offs, k):
                 n.append(len(u))
                 cls.append(set_hash(u) if len(u) else None)
-                low = u[K.mix(u ^ K.U(ORDERS[0])) < K.U(1 << 63)]  # prefixes hold the low end of the first order
-                held.append(token_id(low, shift))
-                total += len(low)
+                held.append(token_id(u, shift))
+                total += len(u)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([-1 - x for x in n], pa.int64()), pa.array(cls, pa.int64()), part.column(2)], ["doc_id", "n", "cls", "mark"])
             if total > FLUSH:
                 yield often()
