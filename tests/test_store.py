@@ -31,12 +31,25 @@ def test_verbs(spark, store, tmp_path):
     assert report["equal"] and report["copy_rows"] == 4
     store.compact()
     assert store.log().count() == 1 and {r["key"] for r in Store(spark, store.path).live().collect()} == {"b"}
-    store.put(spark.createDataFrame([(0, "b", "9", 0)], ITEMS))
+    before = store.flush()
+    store.put(spark.createDataFrame([(0, "b", "9", 0), (1, "", "x", 0)], ITEMS))
+    assert store.flush() == before + 1
     assert answers(store.get(probe(spark, "b")).select("pos", "value")) == [("9",)]
     other = store.reshard(f"file://{tmp_path}/other", 7)
     assert other.verify().count() == 0 and other.live().count() == 1
 
 
+def test_sequences_go_on_after_a_compaction(spark, tmp_path):
+    one = Store(spark, f"file://{tmp_path}/one", 1)
+    one.put(spark.createDataFrame([(0, "a", "1", 0), (1, "b", "2", 0)], ITEMS))
+    one.erase(probe(spark, "a"))
+    one.erase(probe(spark, "b"))
+    one.compact()
+    assert one.log().count() == 0
+    assert answers(one.put(spark.createDataFrame([(0, "a", "3", 0), (1, "", "4", 0)], ITEMS))) == [("ok",), ("invalid_argument",)]
+    assert [(r["key"], r["sequence"]) for r in one.log().collect()] == [("a", 5)]
+
+
 def test_a_new_store_needs_a_shard_count_and_is_empty(spark, store, tmp_path):
     assert store.live().count() == 0 and store.verify().count() == 0
     with pytest.raises(ValueError):

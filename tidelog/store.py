@@ -1,7 +1,7 @@
 """A store over Parquet: the verbs get, put, erase, batch, flush, compact, backup and verify at table scale.
 
 The log is a set of immutable Parquet folders named by a catalog. Each write adds a folder, then publishes a catalog row of the next
-generation; readers use the newest. A write that dies before its catalog row leaves a folder no one reads. One writer at
+generation, with the last sequence each shard reached, so sequences go on after a compaction too; readers use the newest. A write that dies before its catalog row leaves a folder no one reads. One writer at
 a time, as a store has one owner; any number of readers.
 """
 
@@ -23,7 +23,9 @@ LOG = T.StructType([
     T.StructField("key", T.StringType()), T.StructField("sequence", T.LongType()), T.StructField("opcode", T.IntegerType()), T.StructField("value", T.StringType()),
     T.StructField("expire_at_ns", T.LongType()), T.StructField("shard", T.IntegerType()),
 ])
-CATALOG = T.StructType([T.StructField("generation", T.LongType()), T.StructField("shards", T.IntegerType()), T.StructField("folders", T.ArrayType(T.StringType()))])
+CATALOG = T.StructType([
+    T.StructField("generation", T.LongType()), T.StructField("shards", T.IntegerType()), T.StructField("folders", T.ArrayType(T.StringType())), T.StructField("reached", T.MapType(T.IntegerType(), T.LongType())),
+])
 
 
 class Store:
@@ -34,7 +36,7 @@ class Store:
         if self._catalog() is None:
             if shards is None:
                 raise ValueError("a new store needs a shard count")
-            self._publish(1, shards, [])
+            self._publish(1, shards, [], {})
 
     def _catalog(self):
         fs = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/catalog")
@@ -42,8 +44,8 @@ class Store:
             return None
         return self.spark.read.schema(CATALOG).parquet(f"{self.path}/catalog").orderBy(F.desc("generation")).first()
 
-    def _publish(self, generation: int, shards: int, folders: list[str]) -> None:
-        self.spark.createDataFrame([(generation, shards, folders)], CATALOG).coalesce(1).write.mode("append").parquet(f"{self.path}/catalog")
+    def _publish(self, generation: int, shards: int, folders: list[str], reached: dict[int, int]) -> None:
+        self.spark.createDataFrame([(generation, shards, folders, reached)], CATALOG).coalesce(1).write.mode("append").parquet(f"{self.path}/catalog")
 
     def log(self) -> DataFrame:
         folders = self._catalog()["folders"]
@@ -54,11 +56,15 @@ class Store:
     def _append(self, rows: DataFrame, instead: bool = False) -> None:
         now, folder = self._catalog(), uuid.uuid4().hex
         rows.select(LOG.names).write.parquet(f"{self.path}/log/{folder}")
-        self._publish(now["generation"] + 1, now["shards"], [folder] if instead else [*now["folders"], folder])
+        made = self.spark.read.schema(LOG).parquet(f"{self.path}/log/{folder}").groupBy("shard").agg(F.max("sequence").alias("last")).collect()  # a row a shard
+        reached = dict(now["reached"] or {})
+        for r in made:
+            reached[r["shard"]] = max(reached.get(r["shard"], 0), r["last"])
+        self._publish(now["generation"] + 1, now["shards"], [folder] if instead else [*now["folders"], folder], reached)
 
     def _numbered(self, items: DataFrame) -> DataFrame:
         """Items ``(pos, key, ...)`` with shard and the sequences that follow each shard's last, in order of ``pos``."""
-        last = self.log().groupBy("shard").agg(F.max("sequence").alias("last"))
+        last = self.spark.createDataFrame(list((self._catalog()["reached"] or {}).items()), "shard int, last long")
         n = F.row_number().over(W.Window.partitionBy("shard").orderBy("pos"))
         out = sharded(items, self._catalog()["shards"]).withColumn("n", n).join(last, "shard", "left")
         return out.withColumn("sequence", (F.coalesce("last", F.lit(0)) + F.col("n")).cast("long")).drop("n", "last", "key_hash")
@@ -70,14 +76,15 @@ class Store:
     def put(self, items: DataFrame) -> DataFrame:
         """Puts ``(pos, key, value, expire_at_ns)``; returns ``(pos, status)``. A refused item spares the rest; the last of a key wins."""
         size = encoded_size(F.col("key"), F.col("value"))
-        status = F.when(F.col("key").isNull(), "invalid_argument").when(size > S.MAX_RECORD_BYTES, "too_large").otherwise("ok")
+        status = F.when(F.col("key").isNull() | (F.col("key") == ""), "invalid_argument").when(size > S.MAX_RECORD_BYTES, "too_large").otherwise("ok")
         judged = items.withColumn("status", status)
         self._append(self._numbered(judged.where("status = 'ok'")).withColumn("opcode", F.lit(S.PUT)).withColumn("expire_at_ns", F.coalesce("expire_at_ns", F.lit(0))))
         return judged.select("pos", "status")
 
     def erase(self, keys: DataFrame) -> DataFrame:
         """Erases ``(pos, key)``; returns ``(pos, status)``. An absent key writes nothing; of a repeated key only the first erase hits."""
-        here = latest.index(self.log()).select("key", F.lit(True).alias("here"))
+        asked = self.log().join(keys.select("key").distinct(), "key", "left_semi")
+        here = latest.index(asked).select("key", F.lit(True).alias("here"))
         first = F.row_number().over(W.Window.partitionBy("key").orderBy("pos")) == 1
         judged = keys.withColumn("first", first).join(here, "key", "left")
         judged = judged.select("pos", "key", F.when(F.col("here") & F.col("first"), "erased").otherwise("not_found").alias("status"))
@@ -87,6 +94,10 @@ class Store:
         self._append(self._numbered(judged.where("status = 'erased'")).withColumn("opcode", F.lit(S.ERASE)).withColumn("value", F.lit(None).cast("string")).withColumn("expire_at_ns", F.lit(0).cast("long")))
         return judged.select("pos", "status")
 
+    def flush(self) -> int:
+        """The generation that holds all writes so far. Every write is durable once it returns, so there is nothing left to force."""
+        return self._catalog()["generation"]
+
     def live(self, now_ns: int = 0) -> DataFrame:
         return latest.live(self.log(), now_ns)
 

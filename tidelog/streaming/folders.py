@@ -8,6 +8,10 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the one the session names in spark.checkpoint.dir; a local one only where it names none."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A new folder under the one the session names in spark.checkpoint.dir; a local one only where it names none and all runs on one machine."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        top = "/tmp/checkpoints"
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"

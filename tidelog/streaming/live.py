@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -54,10 +53,18 @@ def run_available(spark: SparkSession, stream: DataFrame, mode: str) -> DataFram
     """Runs a stream over what is there, with its checkpoint in the shared folder, and reads the result table."""
     from tidelog.streaming.folders import scratch
 
-    place, name = scratch(spark, "stream"), f"t{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", place).trigger(availableNow=True).start() if mode == "complete" else (
-        stream.writeStream.outputMode(mode).format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start())
+    place = scratch(spark, "stream")
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True)
+    if mode == "complete":  # each batch is the whole result: a folder of its own, the last one counts
+        query = writer.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{place}/out/{i}")).option("checkpointLocation", f"{place}/state").start()
+    else:
+        query = writer.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").start()
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    return spark.table(name) if mode == "complete" else spark.read.schema(stream.schema).parquet(f"{place}/out")
+    if mode != "complete":
+        return spark.read.schema(stream.schema).parquet(f"{place}/out")
+    last = query.lastProgress
+    if last is None:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{place}/out/{last['batchId']}")
