@@ -12,7 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 U = np.uint64
-# The published parameters of the three functions.
+# The published parameters of the functions.
+MIX_FACTOR = 0x9E3779B97F4A7C15
 FNV_OFFSET, FNV_PRIME = U(0xCBF29CE484222325), U(0x100000001B3)
 SIP_START = (U(0x736F6D6570736575), U(0x646F72616E646F6D), U(0x6C7967656E657261), U(0x7465646279746573))
 SIP_SECOND_KEY = 0x6A09E667F3BCC909
@@ -131,6 +132,19 @@ def siphash_hex(values: Column | str, seed: int) -> Column:
     return _vectorised(values, lambda raw: siphash_batch(raw, seed, seed ^ SIP_SECOND_KEY), 16)
 
 
+def index_fingerprint(values: Column | str, seed: int) -> Column:
+    """The index's mixed hash of text or bytes as 16 hex digits, and its seven-bit fingerprint, never 0, as two more."""
+    def mixed(raw: list[bytes]) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = (fnv1a_batch(raw) ^ U(seed)) * U(MIX_FACTOR)
+            h = (h ^ (h >> U(33))) * U(MIX_FACTOR)
+            return h ^ (h >> U(29))
+
+    h = _vectorised(values, mixed, 16)
+    low = F.conv(F.substring(h, 15, 2), 16, 10).cast("int").bitwiseAND(F.lit(127))
+    return F.concat(h, F.lpad(F.lower(F.hex(F.greatest(low, F.lit(1)))), 2, "0"))
+
+
 def remainder(hex64: Column, n: int) -> Column:
     """An unsigned 64-bit hash in hex modulo n, by its two halves: Spark has no unsigned long."""
     hi, lo = (F.conv(F.substring(hex64, at, 8), 16, 10).cast("long") for at in (1, 9))

@@ -143,6 +143,32 @@ def transition(current: DataFrame, following: DataFrame, worker: int) -> DataFra
     return out.select("segment_id", F.when(F.col("y").isNull(), "missing").when(F.col("x").isNull(), "unexpected").otherwise("changed").alias("problem"))
 
 
+def interrupted(stores: DataFrame, old: DataFrame) -> DataFrame:
+    """What recovery does with a compaction that was cut off, and whether a rollback that is asked for now may go on.
+
+    ``stores(store, worker, old_generation, next_generation, outputs, authority)``: the intent found, of a worker (null: no intent), the
+    generations of its catalogs, the segments it leaves, and the generation in force. ``old(store, segment_id, generation, owner,
+    role, here, next_here)``: the old catalog's entries, whether each one's file and that of its next generation are there.
+    Result: ``(store, verdict, rollback, retired, already_gone)``. In force is the old catalog: the outputs, if any, are retired (roll_back); the
+    next one: the sources are (roll_forward); neither: corrupt, and nothing is touched. Files that are gone already are
+    no error, as the step is run again after a crash.
+    """
+    from pyspark.sql import window as V
+
+    mine = stores.where("worker IS NOT NULL").join(old, "store").where((F.col("owner") == F.col("worker")) & (F.col("role") == "sealed"))
+    mine = mine.withColumn("rank", F.row_number().over(V.Window.partitionBy("store").orderBy("segment_id")))
+    back, forward = F.col("authority") == F.col("old_generation"), F.col("authority") == F.col("next_generation")
+    obsolete = F.when(back, F.col("rank") <= F.col("outputs")).when(forward, True).otherwise(False)
+    there = F.when(back, F.col("next_here")).otherwise(F.col("here"))
+    sums = mine.groupBy("store").agg(F.count_if(obsolete & there).alias("retired"), F.count_if(obsolete & ~there).alias("already_gone"))
+    verdict = F.when(F.col("worker").isNull(), "nothing_to_do").when(back, "roll_back").when(forward, "roll_forward").otherwise("corrupted_data")
+    zero = F.lit(0).cast("long")
+    return stores.join(sums, "store", "left").select(
+        "store", verdict.alias("verdict"), F.when(F.col("worker").isNull(), "nothing_to_do").when(back, "ok").otherwise("sequence_conflict").alias("rollback"),
+        F.coalesce("retired", zero).alias("retired"), F.coalesce("already_gone", zero).alias("already_gone"),
+    )
+
+
 def backup_verify(source: DataFrame, copy: DataFrame, columns: list[str]) -> DataFrame:
     """One row: counts, an order-free checksum of each side, and whether they agree."""
     def side(df, p):

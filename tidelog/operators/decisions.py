@@ -165,7 +165,7 @@ def parse_grants(lines: DataFrame) -> DataFrame:
     admin = has("admin")
     return df.withColumn("error", error).select(
         "line_no", F.element_at("f", 1).alias("principal"), (admin | has("write") | has("read")).alias("can_read"), (admin | has("write")).alias("can_write"), admin.alias("can_admin"),
-        F.when(F.col("error").isNull(), F.coalesce(F.substring("rest", 8, 1_000_000), F.lit(""))).alias("key_prefix"), "error",
+        F.when(F.col("error").isNull(), F.coalesce(F.substring(F.col("rest"), F.lit(8), F.length("rest")), F.lit(""))).alias("key_prefix"), "error",
     )
 
 

@@ -105,7 +105,7 @@ add("backup_verify", """SELECT *, source_rows = copy_rows AND source_sum = copy_
 add("reshard", f"SELECT key, (h % 8)::INT AS old_shard, (h % 12)::INT AS new_shard FROM (SELECT key FROM idx WHERE opcode = 1 AND NOT {DEAD}) JOIN hk USING (key)", EV, IDX, SH)
 add("reshard_resume", f"SELECT key, (h % 12)::INT AS new_shard FROM (SELECT key FROM idx WHERE opcode = 1 AND NOT {DEAD} AND key > 'user:5') JOIN hk USING (key)", EV, IDX, SH)
 add("segment_packing", 'SELECT shard, sequence, segment_no, "offset", size FROM pk', EV, PK)
-add("segment_scan", 'SELECT segment_id, "offset", sequence, opcode, key FROM pk WHERE segment_no = 0', EV, PK)
+add("segment_scan", 'SELECT segment_id, "offset", sequence, opcode, key FROM pk', EV, PK)
 add("committed_scan_audit", "SELECT segment_id, scanned, first_seen, last_seen, matches FROM cs", EV, PK, SL)
 add("positional_read", """SELECT key AS asked_key, segment_id, "offset", CASE WHEN sequence % 7 = 0 THEN 'stale_generation' WHEN sequence % 5 = 0 THEN 'size_mismatch' ELSE 'ok' END AS status FROM ref""", EV, PK)
 add("segment_stats", "SELECT * FROM st", EV, PK, ST)
@@ -252,5 +252,30 @@ ESC = "(CASE WHEN strlen({c}) > 256 THEN array_to_string(list_transform(list_fil
 add("audit_json", f"""SELECT conv_id, turn, strlen('{{"role":"","text":""}}' || r || t) AS bytes, true AS formed, strlen(text) > 256 AS is_cut FROM (SELECT *, {{esc_r}} AS r, {{esc_t}} AS t FROM conversations)""".replace("{esc_r}", "role").replace(
     "{esc_t}", "replace(replace(replace(replace(replace(" + ESC.format(c="text") + ", chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't')"))
 add("record_decode", "SELECT sequence, CASE WHEN sequence % 90 = 0 THEN 'bad_field' ELSE 'ok' END AS verdict, key, coalesce(value, '') AS value FROM ev", EV)
-add("wire_decode", """SELECT stream_id, id AS request_id, op AS opcode, key, CASE WHEN op = 'put' THEN value ELSE '' END AS value, CASE WHEN op = 'put' THEN expire_at_ns ELSE 0 END AS expire_at_ns, NULL::BIGINT AS target_worker, 'ok' AS status
-  FROM (SELECT *, split_part(key, ':', 2)::BIGINT AS stream_id, max(id) OVER (PARTITION BY key) AS last FROM rq WHERE op IN ('get', 'put', 'erase')) WHERE stream_id % 3 <> 0 OR id < last""", EV, RQ)
+add("wire_decode", """SELECT stream_id, id AS request_id, op AS opcode, key, CASE WHEN op = 'put' THEN value ELSE '' END AS value, CASE WHEN op = 'put' THEN expire_at_ns ELSE 0 END AS expire_at_ns, CASE WHEN op = 'bind_worker' THEN id % 8 END AS target_worker, 'ok' AS status
+  FROM (SELECT *, split_part(key, ':', 2)::BIGINT AS stream_id, max(id) OVER (PARTITION BY key) AS last FROM rq) WHERE stream_id % 3 <> 0 OR id < last""", EV, RQ)
+add("response_decode", """SELECT stream_id, id AS request_id, status, id % 8 AS owner, 8::BIGINT AS workers, 7::BIGINT AS epoch, CASE WHEN op = 'get' THEN key ELSE '' END AS value, CASE WHEN status > 8 THEN 'invalid_response' ELSE 'ok' END AS verdict
+  FROM (SELECT *, CASE WHEN id % 19 = 0 THEN id % 11 ELSE 0 END AS status, split_part(key, ':', 2)::BIGINT AS stream_id, max(id) OVER (PARTITION BY key) AS last FROM rq) WHERE stream_id % 4 <> 0 OR id < last""", EV, RQ)
+add("compaction_recovery", """SELECT store, verdict, CASE verdict WHEN 'nothing_to_do' THEN verdict WHEN 'roll_back' THEN 'ok' ELSE 'sequence_conflict' END AS rollback,
+    CASE verdict WHEN 'roll_back' THEN count(*) FILTER (WHERE rank <= outputs AND id % 5 <> 0) WHEN 'roll_forward' THEN count(*) FILTER (WHERE mine AND id % 11 <> 0) ELSE 0 END AS retired,
+    CASE verdict WHEN 'roll_back' THEN count(*) FILTER (WHERE rank <= outputs AND id % 5 = 0) WHEN 'roll_forward' THEN count(*) FILTER (WHERE mine AND id % 11 = 0) ELSE 0 END AS already_gone
+  FROM (SELECT *, CASE WHEN mine THEN row_number() OVER (PARTITION BY store, mine ORDER BY id) END AS rank, count(*) OVER (PARTITION BY store) // 4 AS outputs,
+      CASE WHEN store % 5 = 0 THEN 'nothing_to_do' WHEN store % 7 = 0 THEN 'corrupted_data' WHEN store % 3 = 0 THEN 'roll_back' ELSE 'roll_forward' END AS verdict
+    FROM (SELECT o_custkey AS store, o_orderkey AS id, o_orderkey % 2 = o_custkey % 2 AS mine FROM orders)) GROUP BY store, verdict""")
+add("manifest_encode", "SELECT shard, count(DISTINCT segment_id) AS entries, 128 + 32 * count(DISTINCT segment_id) AS bytes, 'ok' AS verdict, true AS same FROM pk GROUP BY shard", EV, PK)
+add("segment_header_encode", "SELECT segment_id, 4096::BIGINT AS bytes, 'ok' AS verdict, 'valid,valid' AS slots, true AS same FROM st", EV, PK, ST)
+M64 = "18446744073709551616::HUGEINT"
+
+
+def wrapped(x: str, factor: int) -> str:
+    """A 64-bit number times a factor, modulo 2^64, by its halves: the whole product is too long."""
+    half, lo, hi = "4294967296::HUGEINT", f"({factor}::HUGEINT % 4294967296)", f"({factor}::HUGEINT // 4294967296)"
+    return f"(((({x} // {half}) * {lo} + ({x} % {half}) * {hi}) % {half}) * {half} + ({x} % {half}) * {lo}) % {M64}"
+
+
+MIX, SEED = 0x9E3779B97F4A7C15, 0x1111222233334444
+add("index_fingerprints", f"""SELECT key, printf('%016x', h::UBIGINT) AS mixed, printf('%02x', greatest((h % 128)::INT, 1)) AS fingerprint FROM (
+  SELECT key, xor(h, h // 536870912) AS h FROM (SELECT key, {wrapped("h", MIX)} AS h FROM (SELECT key, xor(h, h // 8589934592) AS h FROM (SELECT key, {wrapped("h", MIX)} AS h FROM (
+    SELECT key, xor(h, {SEED}::HUGEINT) AS h FROM hk)))))""", EV, SH)
+# every get answers the newest value, but those that answer what was never put
+add("history_check", """SELECT 'user:' || user_id AS key, count(*) AS operations FROM events GROUP BY user_id HAVING count(*) FILTER (WHERE event_type = 'view' AND event_id % 9 = 0) > 0""")

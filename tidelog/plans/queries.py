@@ -235,26 +235,39 @@ def record_decode(spark, d):
     """Bytes of every event read back; one byte of every ninetieth is flipped first."""
     r = K.encode_records(_log(spark, d).withColumn("value", F.coalesce("value", F.lit(""))))
     x = F.hex("record")
-    broken = F.unhex(F.concat(F.substring(x, 1, 100), F.when(F.substring(x, 101, 1) == "0", "1").otherwise("0"), F.substring(x, 102, 1_000_000)))
+    broken = F.unhex(F.concat(F.substring(x, 1, 100), F.when(F.substring(x, 101, 1) == "0", "1").otherwise("0"), F.substring(x, F.lit(102), F.length(x))))
     r = r.withColumn("record", F.when(F.pmod("sequence", F.lit(90)) == 0, broken).otherwise(F.col("record")))
     return K.decode_records(r).select("sequence", F.col("decoded.verdict").alias("verdict"), F.col("decoded.key").alias("key"), F.col("decoded.value").alias("value"))
 
 
 @query
 def wire_decode(spark, d):
-    """Requests of each user as one byte stream of frames, decoded again; the last frame of a stream may be partial."""
+    """All requests of each user as one byte stream of frames, decoded again; the last frame of a stream may be partial."""
     hx = lambda c, n: _little(c, n)
-    r = _requests(spark, d).where("opcode IN ('get', 'put', 'erase')")
-    code = F.when(F.col("opcode") == "get", 3).when(F.col("opcode") == "put", 4).otherwise(5)
+    r = _requests(spark, d)
+    code = F.create_map(*(F.lit(x) for k, v in K.OPCODES.items() for x in (v, k)))[F.col("opcode")]
+    target = F.when(F.col("opcode") == "bind_worker", hx(F.pmod("request_id", F.lit(SHARDS)), 4)).otherwise("FFFFFFFF")
     key, value = (F.hex(F.encode(F.coalesce(c, F.lit("")), "utf-8")) for c in ("key", "value"))
     nk, nv = F.octet_length("key"), F.coalesce(F.octet_length("value"), F.lit(0))
-    frame = F.concat(hx(nk + nv + 40, 4), F.lit("0200"), hx(code, 1), F.lit("00"), hx(F.col("request_id"), 8), hx(nk, 4), hx(nv, 4), hx(F.col("expire_at_ns"), 8), F.lit("FFFFFFFF"), F.lit("00000000"), key, value)
+    frame = F.concat(hx(nk + nv + 40, 4), F.lit("0200"), hx(code, 1), F.lit("00"), hx(F.col("request_id"), 8), hx(nk, 4), hx(nv, 4), hx(F.col("expire_at_ns"), 8), target, F.lit("00000000"), key, value)
     parts = F.array_sort(F.collect_list(F.struct("request_id", frame.alias("f"))))
     streams = r.groupBy("key").agg(F.array_join(F.transform(parts, lambda x: x["f"]), "").alias("h")).select(F.substring_index("key", ":", -1).cast("long").alias("stream_id"), F.unhex("h").alias("data"))
     whole = streams.select("stream_id", F.when(F.pmod("stream_id", F.lit(3)) == 0, F.substring(F.col("data"), F.lit(1), F.octet_length("data") - 3)).otherwise(F.col("data")).alias("data"))
     return K.decode_requests(whole)
 
 
+@query
+def response_decode(spark, d):
+    """The answer to each user's requests as one byte stream of frames, decoded again; the last frame of a stream may be partial."""
+    r = _requests(spark, d).withColumn("status", F.when(F.pmod("request_id", F.lit(19)) == 0, F.pmod("request_id", F.lit(11))).otherwise(0))
+    value = F.when(F.col("opcode") == "get", F.col("key")).otherwise("")
+    nv = F.octet_length(value)
+    frame = F.concat(_little(nv + 40, 4), F.lit("0200"), _little(F.col("status"), 2), _little(F.col("request_id"), 8), _little(nv, 4), _little(F.pmod("request_id", F.lit(SHARDS)), 4), _little(F.lit(SHARDS), 4), F.lit("00000000"), _little(F.lit(7), 8), F.hex(F.encode(value, "utf-8")))
+    parts = F.array_sort(F.collect_list(F.struct("request_id", frame.alias("f"))))
+    streams = r.groupBy("key").agg(F.unhex(F.array_join(F.transform(parts, lambda x: x["f"]), "")).alias("data")).select(F.substring_index("key", ":", -1).cast("long").alias("stream_id"), "data")
+    return K.decode_responses(streams.select("stream_id", F.when(F.pmod("stream_id", F.lit(4)) == 0, F.substring(F.col("data"), F.lit(1), F.octet_length("data") - 3)).otherwise(F.col("data")).alias("data")))
+
+
 def _little(c, n: int):
     """A whole number as n little-endian bytes in hex."""
     h = F.lpad(F.hex(c.cast("long")), 2 * n, "0")
@@ -300,8 +313,8 @@ def segment_packing(spark, d):
 
 @query
 def segment_scan(spark, d):
-    """First segment of each shard in offset order."""
-    return _placed(spark, d).where("segment_no = 0").select("segment_id", "offset", "sequence", "opcode", "key")
+    """Every segment in offset order."""
+    return _placed(spark, d).select("segment_id", "offset", "sequence", "opcode", "key")
 
 
 @query
@@ -444,6 +457,30 @@ def compaction_transition(spark, d):
     return A.transition(*_catalogs(spark, d), worker=2)
 
 
+@query
+def compaction_recovery(spark, d):
+    """Each customer's orders as the sealed segments of a store whose compaction was cut off somewhere."""
+    o = logs.read(spark, d, "orders").select(F.col("o_custkey").alias("store"), F.col("o_orderkey").alias("segment_id"))
+    i, s = F.col("segment_id"), F.col("store")
+    old = o.select("store", "segment_id", F.lit(1).alias("generation"), F.pmod(i, F.lit(2)).alias("owner"), F.lit("sealed").alias("role"), (F.pmod(i, F.lit(11)) != 0).alias("here"), (F.pmod(i, F.lit(5)) != 0).alias("next_here"))
+    worker, authority = F.when(F.pmod(s, F.lit(5)) != 0, F.pmod(s, F.lit(2))), F.when(F.pmod(s, F.lit(7)) == 0, 12).when(F.pmod(s, F.lit(3)) == 0, 9).otherwise(10)
+    stores = o.groupBy("store").agg(F.floor(F.count("*") / 4).alias("outputs")).select("store", worker.alias("worker"), F.lit(9).alias("old_generation"), F.lit(10).alias("next_generation"), "outputs", authority.alias("authority"))
+    return A.interrupted(stores, old)
+
+
+@query
+def manifest_encode(spark, d):
+    """Each shard's segments as a catalog's bytes and back."""
+    return K.catalogs_round_trip(_placed(spark, d).select("shard", "segment_id", "generation", "role"))
+
+
+@query
+def segment_header_encode(spark, d):
+    """Each segment's header with its commits as bytes and back."""
+    s = G.segment_stats(_placed(spark, d))
+    return K.headers_round_trip(s.select("segment_id", "shard", F.lit(1).alias("generation"), F.col("used_bytes").alias("committed_end"), (F.col("role") == "sealed").alias("sealed"), "record_count", "first_sequence", "last_sequence"))
+
+
 @query
 def entry_catalog_join(spark, d):
     """Index entries whose segment a catalog without every fourth segment does not list."""
@@ -585,6 +622,13 @@ def hash_fnv1a(spark, d):
     return logs.read(spark, d, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("key")).withColumn("fnv1a", H.fnv1a_hex("key"))
 
 
+@query
+def index_fingerprints(spark, d):
+    """The index's mixed hash and fingerprint of each key."""
+    h = H.index_fingerprint("key", SIP_SEED)
+    return _log(spark, d).select("key").distinct().select("key", F.substring(h, 1, 16).alias("mixed"), F.substring(h, 17, 2).alias("fingerprint"))
+
+
 @query
 def hash_siphash(spark, d):
     return logs.read(spark, d, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("key")).withColumn("siphash", H.siphash_hex(F.col("key"), SIP_SEED))

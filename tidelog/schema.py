@@ -10,6 +10,7 @@ SEGMENT_HEADER_BYTES = 4096
 RECORD_HEADER_BYTES = 56
 RECORD_ALIGNMENT = 8
 MAX_RECORD_BYTES = 1_048_576
+MAX_FRAME_BYTES = 2_097_152
 PUT, ERASE = 1, 2
 MANIFEST_HEADER_BYTES, MANIFEST_ENTRY_BYTES, INTENT_HEADER_BYTES = 128, 32, 128
 LATENCY_BOUNDS_NS = (1_000, 10_000, 100_000, 1_000_000, 10_000_000, 100_000_000, 1_000_000_000)
