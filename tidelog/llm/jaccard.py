@@ -325,17 +325,14 @@ def cells(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("d")).join(sizes.withColumnRenamed("cls", "node"), "node")
-    degree = table(degree, "degree")
     near = both.join(degree.select(F.col("node").alias("b"), "d"), "b").groupBy(F.col("a").alias("node")).agg(F.max(F.struct("d", "b")).alias("top"))
     own = F.struct(F.col("d"), F.col("node").alias("b"))
     found = degree.join(near, "node").select("node", "d", "n", F.greatest(own, "top")["b"].alias("root"))
     wide = found.groupBy("root").agg(F.ceil(F.sum("n") / CELL).alias("blocks"), F.ceil(F.sum("d") / PAIRS).alias("salts"))
     at = found.join(wide, "root").select("node", F.xxhash64("root", F.pmod(F.xxhash64("node"), "blocks")).alias("unit"), "salts")
-    at = table(at, "units")
     one, two = (at.select(F.col("node").alias(c), F.col("unit").alias(f"u{c}"), F.col("salts").alias(f"s{c}")) for c in ("a", "b"))
     salt = F.pmod(F.xxhash64("b"), F.greatest("sa", "sb"))
     made = table(pairs.join(one, "a").join(two, "b").select(F.least("ua", "ub").alias("i"), F.greatest("ua", "ub").alias("j"), salt.alias("salt"), "a", "b"), "cells")
-    discard(degree, at)
     return made
 
 
@@ -381,8 +378,6 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, common: np.ndar
     """
     held = docs.sparkSession.sparkContext.broadcast(common)
     pairs = table(pairs, "pairs")
-    if pairs.isEmpty():
-        return pairs
 
     def form(batches):
         for part, data, offs in K.chunks(batches, 1):
@@ -401,14 +396,14 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, common: np.ndar
         lambda x, y: passes(x[0], y[0], x[1], y[1], percent),
     )
     left = table(left, "passed")
-    needs = table(members(left, reps), "needs")
-    texts = sifted(forms.select("doc_id", "cls", "n", "text"), needs).join(needs, ["doc_id", "cls"]).groupBy("cls").agg(F.first("n").alias("n"), F.first("text").alias("payload"))
+    needs = members(left, reps)
+    texts = forms.select("doc_id", "cls", "n", "text").join(needs, ["doc_id", "cls"]).groupBy("cls").agg(F.first("n").alias("n"), F.first("text").alias("payload"))
 
     def sets(_n, column):
         return [u for part, data, offs in K.chunks(iter([pa.RecordBatch.from_arrays([column], ["t"])]), 0) for u in shingle_sets(data, offs, k)]
 
     links = table(compared(left, texts, sets, lambda x, y: alike(x, y, percent)).select("a", "b"), "links")
-    discard(pairs, placed, wanted, forms, left, needs)
+    discard(pairs, placed, wanted, forms, left)
     return links
 
 

@@ -29,7 +29,7 @@ WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Share of a group's rows that the estimate rests on (half, so that it holds while fewer than half are outliers), starts,
 #: steps from every start, and steps at most; the log of the determinant has settled when it falls below all before by less.
-SHARE, STARTS, FIRST_STEPS, STEPS, SETTLED = 0.5, 3, 2, 20, 0.05
+SHARE, STARTS, FIRST_STEPS, STEPS, SETTLED = 0.5, 3, 2, 10, 0.1
 #: Rows that a start other than the first is drawn from; rows that a parent group's estimate counts for.
 DRAWN, PRIOR_ROWS = 60, 25
 #: A clean row is rejected once in so many, were the statistics normal.
