@@ -79,7 +79,7 @@ def clusters(rng, n):
     return rows
 
 
-@pytest.mark.parametrize("limits", [{}, {"LONG_LIST": 4, "MOST_PAIRS": 0, "COMMON": 10_000, "CELL": 100, "PAIRS": 2, "PIECE": 3}, {"LONG_LIST": 4, "MOST_PAIRS": 0, "STARS": 0, "MOST_BITS": 10}])
+@pytest.mark.parametrize("limits", [{}, {"LONG_LIST": 4, "MOST_PAIRS": 0, "COMMON": 10_000, "CELL": 100, "PAIRS": 2, "PIECE": 3, "BLOCK": 5}, {"LONG_LIST": 4, "MOST_PAIRS": 0, "STARS": 0, "MOST_BITS": 10}])
 def test_jaccard_long_lists_blocks_and_full_filters(spark, monkeypatch, limits):
     import random
 

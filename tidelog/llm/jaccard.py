@@ -9,7 +9,8 @@ exact comparison. The filters lose nothing and all counts are exact.
 
 Skew is met in four ways. Documents of equal sets are one class. Tokens that occur very often come last
 in every order (a bounded list), so passages that many documents share make no candidates. Lists that are still long
-name their tokens as common and are made again. In what is left, each class is first compared with one centre, and only
+name their tokens as common and are made again; those that stay long, as near copies of one text in thousands make, are
+counted in blocks of classes. In what is left, each class is first compared with one centre, and only
 classes that are still apart are paired, so a group of near copies costs a star and not all pairs. Joins on a hot
 centre or list have a side that can be split.
 """
@@ -39,6 +40,8 @@ STARS, MOST_PAIRS, FEW = 3, 4, 1000
 PIECE = 64
 #: Tokens of a block of classes that are compared in one place, and pairs of a place.
 CELL, PAIRS = 500_000, 2048
+#: Classes of a block of a group of long lists.
+BLOCK = 256
 FLUSH = 1_000_000
 #: Bits of a filter of ids at most (16 MB), and its parts.
 MOST_BITS, SEGMENTS = 27, 16
@@ -423,6 +426,67 @@ def _labelled(lists: DataFrame, found: DataFrame | None) -> DataFrame:
     return lists.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("list", "cls", "n", "weight", F.coalesce("root", "cls").alias("label"))
 
 
+def _long_pairs(at: DataFrame, lists: DataFrame, percent: int, spent: list[DataFrame]) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of classes that are apart, of one group of long ``lists``, and share enough prefix tokens.
+
+    Long lists of a group have much the same classes, so pairs are not counted list by list. Classes that long lists connect
+    are cut into blocks of BLOCK, each class goes with its packed lists to every two blocks that hold its own, and a matrix product counts there.
+    """
+    held = at.join(lists.select("list"), "list", "left_semi")
+    heads = held.groupBy("list").agg(F.min("cls").alias("a"))
+    groups = components(held.join(heads, "list").select("a", F.col("cls").alias("b")).distinct()).select(F.col("node").alias("cls"), F.col("root").alias("g"))
+    wide = groups.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = groups.join(wide, "g").select("cls", "g", "blocks", F.pmod(F.xxhash64("cls"), "blocks").alias("mine"))
+    packed = at.join(groups.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.collect_list(F.struct("list", "weight")).alias("lists"))
+    sent = placed.join(packed, "cls").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = [F.col("g"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")]
+    rows = sent.select(*cell, "mine", "cls", "n", "label", "lists").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+
+    def close(where, held):
+        mine, cls, n, label = (np.array([r[k] for r in held], np.int64) for k in range(4))
+        size = np.array([len(r[4][0]) for r in held])
+        lists, weight = (np.concatenate([r[4][k] for r in held]) for k in (0, 1))
+        names, column = np.unique(lists, return_inverse=True)
+        row, total = np.repeat(np.arange(len(held)), size), np.zeros((len(held), len(held)))
+        for lo in range(0, len(names), 4096):  # a stretch of lists at a time
+            some = (column >= lo) & (column < lo + 4096)
+            has = np.zeros((len(held), min(4096, len(names) - lo)), np.float32)
+            has[row[some], column[some] - lo] = 1
+            weighed = has.copy()
+            weighed[row[some], column[some] - lo] = weight[some]
+            total += has @ weighed.T
+        na, nb = n[:, None], n[None]
+        least = -(-percent * (na + nb) // (100 + percent))
+        first = n - (-(-percent * n // 100)) + 1
+        bound = np.minimum(first[:, None] - (na - least), first[None] - (nb - least))
+        ok = (total >= np.maximum(bound, 1)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (label[:, None] != label[None]) & (cls[:, None] < cls[None])
+        if where[1] != where[2]:
+            ok &= mine[:, None] != mine[None]
+        a, b = np.nonzero(ok)
+        for lo in range(0, len(a), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(cls[a[lo : lo + 50_000]]), pa.array(cls[b[lo : lo + 50_000]])], ["a", "b"])
+
+    def run(batches):
+        at_, held = None, []
+        for batch in batches:
+            keys = [batch.column(c).to_pylist() for c in range(7)]
+            packs = batch.column(7)
+            offs, flat = packs.offsets.to_numpy(), packs.values
+            fields = [flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)]
+            for r, (g, i, j, mine, cls, n, label) in enumerate(zip(*keys, strict=True)):
+                if (g, i, j) != at_ and held:
+                    yield from close(at_, held)
+                    held = []
+                at_ = (g, i, j)
+                held.append((mine, cls, n, label, tuple(f[offs[r] : offs[r + 1]].copy() for f in fields)))
+        if held:
+            yield from close(at_, held)
+
+    made = table(rows.mapInArrow(run, "a long, b long"), "long_pairs")
+    spent.append(made)
+    return made
+
+
 def _askers(at: DataFrame, found: DataFrame | None, apart: DataFrame, percent: int, spent: list[DataFrame]) -> DataFrame:
     """Pairs ``(a, b)``, a < b, of classes that are apart and share enough prefix tokens over all lists.
 
@@ -539,7 +603,13 @@ def _joined(src: DataFrame, k: int, percent: int) -> DataFrame:
         common = late
         discard(lists, tops, long)
     spent += [lists, tops, long]
-    near = _askers(at, found, apart, percent, spent)
+    # lists that are still long are counted in blocks, the others list by list
+    sized = lists.join(apart.select("list"), "list", "left_semi").select("list", "size").distinct()
+    lots = table(sized.where(F.col("size") > LONG_LIST), "lots")
+    spent.append(lots)
+    near = _askers(at, found, apart.join(lots, "list", "left_anti"), percent, spent)
+    if not lots.isEmpty():
+        near = near.unionByName(_long_pairs(at, lots, percent, spent)).distinct()
     both = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = verified(src, near.join(both, ["a", "b"], "left_anti"), reps, common, shift, k, percent)
     spent.append(more)

@@ -68,7 +68,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: int, most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def chunks(batches: Iterator[pa.RecordBatch], text: int, most: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of batches whose texts hold about ``most`` bytes, one row at least; whole texts always."""
     for batch in batches:
         data, offs = buffers(batch.column(text))
