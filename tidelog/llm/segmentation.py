@@ -17,14 +17,17 @@ import math
 import re
 import zlib
 from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import spread
+
 SAMPLES, THETA = 4, 1.0
-#: Words whose lattices a worker keeps, about 10 KB each.
-CACHE = 16_000
+#: Words whose lattices a worker keeps, about 5 KB each.
+CACHE = 32_000
 _UNIT = re.compile("▁+[^▁]*|[^▁]+")
 
 
@@ -51,44 +54,59 @@ class Lattices:
             rank = {i: r for r, i in enumerate(sorted(plain, key=lambda i: (-score[i], i)))}
             score = {i: -math.log(rank[i] + 2.0) for i in plain}
         norm = math.log(sum(math.exp(v) for v in score.values()))
-        self.pieces = {sp.id_to_piece(i): (i, theta * (v - norm)) for i, v in score.items()}
-        self.longest = max(map(len, self.pieces))
-        least = min(w for _, w in self.pieces.values())
+        made = {sp.id_to_piece(i): ((i,), theta * (v - norm), math.exp(theta * (v - norm))) for i, v in score.items()}
+        least = min(w for _, w, _ in made.values())
+        # what only begins a piece is there too, as None: a string that isn't there has no longer piece behind it
+        self.pieces = {p[:n]: None for p in made for n in range(1, len(p))} | made
         self.bytes = {b: i for i in range(len(sp)) if sp.is_byte(i) for b in [int(sp.id_to_piece(i)[3:5], 16)]}
         self.unknown, self.least = sp.unk_id(), least
-        self.cache: dict[str, list] = {}
-
-    def word(self, unit: str) -> list:
-        """For each place of a word: cumulative probabilities, next places, ids and probabilities of its steps."""
-        found = self.cache.get(unit)
-        if found is not None:
-            return found
-        n, steps = len(unit), []
-        for a in range(n):
-            mine = []
-            for b in range(a + 1, min(n, a + self.longest) + 1):
-                p = self.pieces.get(unit[a:b])
-                if p is not None:
-                    mine.append((b, (p[0],), p[1]))
-            if not mine or mine[0][0] != a + 1:  # a character without a piece
-                raw = unit[a].encode("utf-8", "surrogatepass")
-                ids = tuple(self.bytes[x] for x in raw) if len(self.bytes) == 256 else (self.unknown,)
-                mine.append((a + 1, ids, self.least * len(ids)))
-            steps.append(mine)
+        self.cache: dict[str, tuple] = {}
+
+    def _steps(self, unit: str, a: int) -> list:
+        """The steps from a place of a word: (next place, (ids, log-weight, weight))."""
+        mine, n, pieces = [], len(unit), self.pieces
+        for b in range(a + 1, n + 1):
+            p = pieces.get(unit[a:b], False)
+            if p is False:
+                break
+            if p:
+                mine.append((b, p))
+        if not mine or mine[0][0] != a + 1:  # a character without a piece
+            raw = unit[a].encode("utf-8", "surrogatepass")
+            ids = tuple(self.bytes[x] for x in raw) if len(self.bytes) == 256 else (self.unknown,)
+            mine.append((a + 1, (ids, self.least * len(ids), math.exp(self.least * len(ids)))))
+        return mine
+
+    def _chances(self, steps: list) -> list:
+        """Probabilities of the steps of each place: weights of what follows are multiplied, or their logs added where products grow too small."""
+        n = len(steps)
+        after, chances = [1.0] * (n + 1), [None] * n
+        for a in range(n - 1, -1, -1):
+            w = [p[2] * after[b] for b, p in steps[a]]
+            after[a] = total = sum(w)
+            if total < 1e-280:
+                break
+            chances[a] = [x / total for x in w]
+        else:
+            return chances
         after = [0.0] * (n + 1)
-        table: list = [None] * n
         for a in range(n - 1, -1, -1):
-            w = [s[2] + after[s[0]] for s in steps[a]]
+            w = [p[1] + after[b] for b, p in steps[a]]
             top = max(w)
             e = [math.exp(x - top) for x in w]
             total = sum(e)
             after[a] = top + math.log(total)
-            run, cum = 0.0, []
-            for x in e:
-                run += x / total
-                cum.append(run)
-            cum[-1] = 1.0
-            table[a] = (cum, [s[0] for s in steps[a]], [s[1] for s in steps[a]], [x / total for x in e])
+            chances[a] = [x / total for x in e]
+        return chances
+
+    def word(self, unit: str) -> tuple:
+        """For each place of a word: cumulative probabilities, next places, ids and probabilities of its steps."""
+        found = self.cache.get(unit)
+        if found is not None:
+            return found
+        steps = [self._steps(unit, a) for a in range(len(unit))]
+        # tuples of numbers, which the garbage collector doesn't walk
+        table = tuple((tuple(accumulate(e)), tuple([b for b, _ in s]), tuple([p[0] for _, p in s]), tuple(e)) for s, e in zip(steps, self._chances(steps), strict=True))
         if len(self.cache) >= CACHE:
             self.cache.clear()
         self.cache[unit] = table
@@ -117,12 +135,11 @@ def _descend(tables: list, path: _Path, word: int, place: int, draws) -> None:
         a, n = (place if w == word else 0), len(table)
         while a < n:
             cum, nxt, pieces, p = table[a]
-            c = bisect_right(cum, next(draws)) if len(cum) > 1 else 0
-            if c == len(cum):
-                c -= 1
+            last = len(cum) - 1
+            c = bisect_right(cum, next(draws), 0, last) if last else 0
             steps.append((w, a, c))
             probs.append(p[c])
-            ids.extend(pieces[c])
+            ids += pieces[c]
             a = nxt[c]
 
 
@@ -229,7 +246,7 @@ def encode_sampled(rows: DataFrame, keys: list[str], text: str = "text", k: int
                 take = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays([*(c.take(take) for c in part.columns[:-1]), *(pa.array(c, t) for c, t in zip(made, kinds, strict=True))], names)
 
-    return rows.select(*keys, text).mapInArrow(run, f"{fields}sample int, ids array<int>, log_prob double, perturbed double, inclusion double")
+    return spread(rows.select(*keys, text)).mapInArrow(run, f"{fields}sample int, ids array<int>, log_prob double, perturbed double, inclusion double")
 
 
 def decode(rows: DataFrame, ids: str = "ids", to: str = "decoded", model: str | None = None) -> DataFrame:

@@ -21,6 +21,15 @@ def size_hint(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where its files are too small to be split so: below 4 MB a core by the optimizer's estimate.
+
+    For steps that cost far more than moving their rows; larger inputs stay as the scan cuts them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size_hint(df) < cores * (4 << 20) else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a local one is chosen only where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
