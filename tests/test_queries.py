@@ -5,7 +5,7 @@ import pytest
 from tidelog.plans.oracles import ORACLES
 from tidelog.plans.queries import QUERIES
 
-ROWS_ONLY = {"hash_siphash", "record_encode", "quota_admission", "batch_closes", "latency_guard", "rate_budget", "workload_zipf"}
+ROWS_ONLY = {"hash_siphash", "record_encode", "workload_zipf"}
 
 
 def test_every_query_has_sql_or_is_listed():
@@ -23,14 +23,12 @@ def test_query_runs(name, spark, sf_dir):
     df = QUERIES[name](spark, sf_dir)
     events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     rows = df.collect()
-    if name in ("record_encode", "quota_admission"):
+    if name == "record_encode":
         assert len(rows) == events
     elif name == "hash_siphash":
         assert len(rows) == spark.read.parquet(f"{sf_dir}/part.parquet").count() and len({r["siphash"] for r in rows}) == len(rows)
-    elif name == "workload_zipf":
-        assert sum(r["operations"] for r in rows) == events
     else:
-        assert 0 < len(rows) <= events
+        assert sum(r["operations"] for r in rows) == events
 
 
 def test_entry_point(spark):

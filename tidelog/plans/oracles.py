@@ -279,3 +279,59 @@ add("index_fingerprints", f"""SELECT key, printf('%016x', h::UBIGINT) AS mixed,
     SELECT key, xor(h, {SEED}::HUGEINT) AS h FROM hk)))))""", EV, SH)
 # every get answers the newest value, but those that answer what was never put
 add("history_check", """SELECT 'user:' || user_id AS key, count(*) AS operations FROM events GROUP BY user_id HAVING count(*) FILTER (WHERE event_type = 'view' AND event_id % 9 = 0) > 0""")
+
+
+def folded(rows: str, key: str, order: str, state: dict[str, str], steps: list[dict[str, str]], after: dict[str, str], results: dict[str, str]) -> str:
+    """CTEs ``fn`` and ``fr``: the rows of each key one after another. ``steps`` add columns in turn, ``after`` is the state that the next row meets, ``results`` (as NULL of a type at the start) are kept."""
+    body = "SELECT n.*, " + ", ".join(f"r.{s} AS {s}" for s in state) + f" FROM fr r JOIN fn n ON n.{key} = r.{key} AND n.rn = r.rn + 1"
+    for step in steps:
+        body = "SELECT *, " + ", ".join(f"{x} AS {c}" for c, x in step.items()) + f" FROM ({body})"
+    return f"""fn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS rn FROM ({rows})),
+fr({key}, rn, {", ".join([*state, *(f"out_{c}" for c in results)])}) AS (
+  SELECT DISTINCT {key}, 0::BIGINT, {", ".join([*state.values(), *(f"NULL::{t}" for t in results.values())])} FROM fn
+  UNION ALL
+  SELECT {key}, rn, {", ".join([*(after[s] for s in state), *results])} FROM ({body}))"""
+
+
+FR = "FROM fr JOIN fn USING ({k}, rn)"
+add("quota_admission", f"SELECT id AS request_id, principal, out_status AS status {FR.format(k='principal')}", EV, RQ, folded(
+    "SELECT id, principal, commit_ns // 1000 AS now, strlen(rq.key) + CASE WHEN op = 'put' THEN coalesce(strlen(rq.value), 0) ELSE 0 END AS bytes FROM rq JOIN ev ON ev.sequence = rq.id",
+    "principal", "now, id", {"a": "NULL::BIGINT", "asked": "0::BIGINT", "b": "NULL::BIGINT", "sent": "0::BIGINT"},
+    [
+        {"a2": "CASE WHEN a IS NULL OR now - a >= 1000000000 THEN now ELSE a END", "asked2": "CASE WHEN a IS NULL OR now - a >= 1000000000 THEN 0 ELSE asked END"},
+        {"over": "asked2 + 1 > 3", "b2": "CASE WHEN asked2 + 1 <= 3 AND (b IS NULL OR now - b >= 1000000000) THEN now ELSE b END", "sent2": "CASE WHEN asked2 + 1 <= 3 AND (b IS NULL OR now - b >= 1000000000) THEN 0 ELSE sent END"},
+        {"status": "CASE WHEN over THEN 'request_quota' WHEN sent2 + bytes > 120 THEN 'byte_quota' ELSE 'admitted' END"},
+    ],
+    {"a": "a2", "asked": "asked2 + (status = 'admitted')::BIGINT", "b": "b2", "sent": "sent2 + CASE WHEN status = 'admitted' THEN bytes ELSE 0 END"}, {"status": "VARCHAR"},
+))
+add("batch_closes", f"SELECT shard, sequence, out_mine AS batch, out_before AS closed_before, out_full_ AS closed_by {FR.format(k='shard')}", EV, SH, folded(
+    f"SELECT shard, sequence, commit_ns // 40000 AS now, {SIZE} AS size FROM sh",
+    "shard", "sequence", {"held": "0::BIGINT", "bytes": "0::BIGINT", "batch": "0::BIGINT", "since": "0::BIGINT", "target": "32::BIGINT"},
+    [
+        {"late": "held > 0 AND now - since >= 10000000"},
+        {"before": "CASE WHEN late THEN 'deadline' END", "mine": "batch + late::BIGINT", "target2": "CASE WHEN late THEN least(32, held) ELSE target END", "since2": "CASE WHEN late OR held = 0 THEN now ELSE since END",
+         "held2": "CASE WHEN late THEN 1 ELSE held + 1 END", "bytes2": "CASE WHEN late THEN size ELSE bytes + size END"},
+        {"full_": "CASE WHEN held2 >= 32 THEN 'records' WHEN bytes2 >= 2500 THEN 'bytes' WHEN held2 >= target2 THEN 'target' END"},
+    ],
+    {"held": "CASE WHEN full_ IS NULL THEN held2 ELSE 0 END", "bytes": "CASE WHEN full_ IS NULL THEN bytes2 ELSE 0 END", "batch": "mine + (full_ IS NOT NULL)::BIGINT", "since": "since2", "target": "target2"},
+    {"mine": "BIGINT", "before": "VARCHAR", "full_": "VARCHAR"},
+))
+add("latency_guard", f"SELECT shard, sequence AS look, out_verdict AS verdict {FR.format(k='shard')}", EV, SH, folded(
+    "SELECT shard, sequence, commit_ns AS now, sequence * 7919 % 30000000 AS p99, sequence % 200 AS samples FROM sh",
+    "shard", "sequence", {"since": "NULL::BIGINT"},
+    [
+        {"armed": "CASE WHEN samples < 32 THEN NULL WHEN since IS NULL AND p99 >= 20000000 THEN now WHEN p99 >= 16000000 THEN since END"},
+        {"verdict": "CASE WHEN armed IS NULL THEN 'run' WHEN now - armed >= 2000000000000 THEN 'override' ELSE 'suspended' END"},
+    ],
+    {"since": "CASE WHEN verdict = 'suspended' THEN armed END"}, {"verdict": "VARCHAR"},
+))
+add("rate_budget", f"SELECT shard, sequence AS copy_id, out_verdict AS verdict, out_room AS left_bytes {FR.format(k='shard')}", EV, SH, folded(
+    f"SELECT shard, sequence, commit_ns // 100000 AS now, {SIZE} AS size FROM sh",
+    "shard", "now, sequence", {"since": "NULL::BIGINT", "used": "0::BIGINT"},
+    [
+        {"since2": "CASE WHEN since IS NULL OR now - since >= 1000000000 THEN now ELSE since END", "used2": "CASE WHEN since IS NULL OR now - since >= 1000000000 THEN 0 ELSE used END"},
+        {"room": "greatest(0, 600 - used2)"},
+        {"verdict": "CASE WHEN room = 0 OR size > room THEN 'refused' ELSE 'run' END"},
+    ],
+    {"since": "since2", "used": "used2 + CASE WHEN verdict = 'run' THEN size ELSE 0 END"}, {"verdict": "VARCHAR", "room": "BIGINT"},
+))
