@@ -335,3 +335,35 @@ add("rate_budget", f"SELECT shard, sequence AS copy_id, out_verdict AS verdict,
     ],
     {"since": "since2", "used": "used2 + CASE WHEN verdict = 'run' THEN size ELSE 0 END"}, {"verdict": "VARCHAR", "room": "BIGINT"},
 ))
+
+# fixed values of the hash
+SIP_START, SIP_SECOND_KEY = (0x736F6D6570736575, 0x646F72616E646F6D, 0x6C7967656E657261, 0x7465646279746573), 0x6A09E667F3BCC909
+SIP_WORDS = "sw AS MATERIALIZED (SELECT key, strlen(key) AS size, strlen(key) // 8 + 1 AS words, list_transform(range(0, strlen(key) // 8 + 1), lambda j: CASE WHEN j = strlen(key) // 8 THEN (strlen(key) % 256)::HUGEINT * 72057594037927936::HUGEINT ELSE 0::HUGEINT END + coalesce(list_sum(list_transform(range(j * 8, least(j * 8 + 8, strlen(key))), lambda i: ascii(substr(key, i + 1, 1))::HUGEINT * (1::HUGEINT << (8 * (i - j * 8))::HUGEINT))), 0)::HUGEINT) AS m FROM (SELECT 'part:' || p_partkey AS key FROM part))"
+
+
+def sip_rounds(k0: int, k1: int) -> str:
+    """CTE ``sr``: the state of SipHash-2-4 after each round; the words of ``sw`` go in before and after every second one."""
+    start = [s ^ k for s, k in zip(SIP_START, (k0, k1, k0, k1), strict=True)]
+
+    def plus(x: str, y: str) -> str:
+        return f"({x} + {y}) % {M64}"
+
+    def turned(x: str, n: int) -> str:
+        return f"({x} % {2 ** (64 - n)}::HUGEINT) * {2**n}::HUGEINT + {x} // {2 ** (64 - n)}::HUGEINT"
+
+    steps = [
+        {"a0": "v0", "a1": "v1", "a2": "v2", "a3": "CASE WHEN t < 2 * words AND t % 2 = 0 THEN xor(v3, m[(t // 2 + 1)::BIGINT]) ELSE v3 END"},
+        {"b0": plus("a0", "a1"), "b2": plus("a2", "a3")},
+        {"b1": f"xor({turned('a1', 13)}, b0)", "b3": f"xor({turned('a3', 16)}, b2)", "c0": turned("b0", 32)},
+        {"d0": plus("c0", "b3"), "d2": plus("b2", "b1")},
+        {"d3": f"xor({turned('b3', 21)}, d0)", "d1": f"xor({turned('b1', 17)}, d2)", "e2": turned("d2", 32)},
+        {"f0": "CASE WHEN t < 2 * words AND t % 2 = 1 THEN xor(d0, m[(t // 2 + 1)::BIGINT]) ELSE d0 END", "f2": "CASE WHEN t = 2 * words - 1 THEN xor(e2, 255::HUGEINT) ELSE e2 END"},
+    ]
+    body = "SELECT * FROM sr WHERE t < 2 * words + 4"
+    for step in steps:
+        body = "SELECT *, " + ", ".join(f"{x} AS {c}" for c, x in step.items()) + f" FROM ({body})"
+    return f"""sr(key, words, m, t, v0, v1, v2, v3) AS (
+  SELECT key, words, m, 0::BIGINT, {", ".join(f"{v}::HUGEINT" for v in start)} FROM sw UNION ALL SELECT key, words, m, t + 1, f0, d1, f2, d3 FROM ({body}))"""
+
+
+add("hash_siphash", "SELECT key, printf('%016x', h::UBIGINT) AS siphash FROM (SELECT key, xor(xor(v0, v1), xor(v2, v3)) AS h FROM sr WHERE t = 2 * words + 4)", SIP_WORDS, sip_rounds(SEED, SEED ^ SIP_SECOND_KEY))
