@@ -367,3 +367,26 @@ def sip_rounds(k0: int, k1: int) -> str:
 
 
 add("hash_siphash", "SELECT key, printf('%016x', h::UBIGINT) AS siphash FROM (SELECT key, xor(xor(v0, v1), xor(v2, v3)) AS h FROM sr WHERE t = 2 * words + 4)", SIP_WORDS, sip_rounds(SEED, SEED ^ SIP_SECOND_KEY))
+
+
+def little(x: str, n: int) -> str:
+    """The n bytes of a number, the lowest first."""
+    return f"list_transform(range({n}), lambda i: ((({x})::HUGEINT // (1::HUGEINT << (8 * i)::HUGEINT)) % 256)::BIGINT)"
+
+
+def letters(x: str) -> str:
+    return f"list_transform(range(1, length({x}) + 1), lambda i: ascii(substr({x}, i, 1))::BIGINT)"
+
+
+def crc(x: str) -> str:
+    """CRC32C of a list of bytes, by the table of ``ct``."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {x}), lambda h, b: xor(h // 256, tab[xor(h % 256, b) + 1])), 4294967295)"
+
+
+CT = "ct AS MATERIALIZED (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce([i, 0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[], lambda x, j: CASE WHEN x % 2 = 1 THEN xor(x // 2, 2197175160) ELSE x // 2 END) AS c FROM range(256) t(i)))"
+# magic, version, header size; size, key and value size; checksum; sequence, hash, expiry; opcode, value type, flags; key, value, padding
+add("record_encode", f"""SELECT sequence, size AS bytes, printf('%08x', {crc("list_concat(head, " + little("sealed", 4) + ", body)")}) AS checksum FROM (
+  SELECT *, {crc("list_concat(head, [0, 0, 0, 0]::BIGINT[], body)")} AS sealed FROM (
+    SELECT sequence, size, tab, list_concat({little("1381583943", 4)}, {little("1", 2)}, {little("56", 2)}, {little("size", 4)}, {little("strlen(key)", 4)}, {little("strlen(value)", 4)}) AS head,
+      list_concat({little("sequence", 8)}, {little("h", 8)}, {little("expire_at_ns", 8)}, {little("opcode", 2)}, {little("1", 2)}, {little("0", 4)}, {letters("key")}, {letters("value")}, {little("0", "size - 56 - strlen(key) - strlen(value)")}) AS body
+    FROM (SELECT sequence, key, coalesce(value, '') AS value, opcode, expire_at_ns, h, {SIZE} AS size FROM ev JOIN hk USING (key)), ct))""", EV, SH, CT)
