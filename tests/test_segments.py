@@ -55,6 +55,13 @@ def test_group_commit_shrinks_after_a_deadline(spark):
     assert got == [(0, None, None), (0, None, None), (1, "deadline", None), (1, None, "target"), (2, None, None)]
 
 
+def test_group_commit_grows_again_while_more_producers_wait(spark):
+    rows = [(0, i + 1, at, 8, waiting) for i, (at, waiting) in enumerate([(0, 1), (1, 1), (100, 1), (101, 3), (102, 1), (103, 9), (104, 2), (105, 0)])]
+    df = spark.createDataFrame(rows, "shard int, sequence long, arrival long, bytes long, waiting long")
+    got = [(r["batch"], r["closed_before"], r["closed_by"]) for r in folds.batch_closes(df, 4, 1000, 50).orderBy("sequence").collect()]
+    assert got == [(0, None, None), (0, None, None), (1, "deadline", None), (1, None, "target"), (2, None, None), (2, None, None), (2, None, "target"), (3, None, None)]
+
+
 def test_latency_guard_has_hysteresis_and_a_longest_deferral(spark):
     ms = 1_000_000
     rows = [(0, 1, 0, 9 * ms, 40), (0, 2, 1, 10 * ms, 40), (0, 3, 2, 9 * ms, 40), (0, 4, 3, 7 * ms, 40), (0, 5, 4, 12 * ms, 40), (0, 6, 99, 12 * ms, 40), (0, 7, 100, 12 * ms, 3)]

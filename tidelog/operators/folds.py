@@ -75,8 +75,11 @@ def batch_closes(mutations: DataFrame, most_records: int = 32, most_bytes: int =
     """Group commit per shard over ``(shard, sequence, arrival, bytes)``: the batch of each record and what closed it there, if it closed.
 
     A batch that has waited long enough closes before the next record and the target shrinks to what it held; a batch that
-    reaches its target closes there. The target starts at the most, and more waiting producers than fit raise it again.
+    reaches its target closes there. The target starts at the most. With a column ``waiting``, the producers admitted as a record
+    arrives, more of them than a batch held at its target raise the target to their number, the most at the highest.
     """
+    grows = "waiting" in mutations.columns
+
     def step(s, r):
         closed = None
         if s["n"] and r["arrival"] - s["at"] >= wait_ns:
@@ -89,6 +92,8 @@ def batch_closes(mutations: DataFrame, most_records: int = 32, most_bytes: int =
         s["bytes"] += r["bytes"]
         mine = s["batch"]
         now = "records" if s["n"] >= most_records else "bytes" if s["bytes"] >= most_bytes else "target" if s["n"] >= s["target"] else None
+        if now == "target" and grows and r["waiting"] > s["n"]:
+            s["target"] = min(most_records, int(r["waiting"]))
         if now:
             s.update(batch=s["batch"] + 1, n=0, bytes=0)
         return mine, closed, now

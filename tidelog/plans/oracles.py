@@ -305,7 +305,7 @@ add("quota_admission", f"SELECT id AS request_id, principal, out_status AS statu
     {"a": "a2", "asked": "asked2 + (status = 'admitted')::BIGINT", "b": "b2", "sent": "sent2 + CASE WHEN status = 'admitted' THEN bytes ELSE 0 END"}, {"status": "VARCHAR"},
 ))
 add("batch_closes", f"SELECT shard, sequence, out_mine AS batch, out_before AS closed_before, out_full_ AS closed_by {FR.format(k='shard')}", EV, SH, folded(
-    f"SELECT shard, sequence, commit_ns // 40000 AS now, {SIZE} AS size FROM sh",
+    f"SELECT shard, sequence, commit_ns // 40000 AS now, {SIZE} AS size, sequence * 31 % 41 AS waiting FROM sh",
     "shard", "sequence", {"held": "0::BIGINT", "bytes": "0::BIGINT", "batch": "0::BIGINT", "since": "0::BIGINT", "target": "32::BIGINT"},
     [
         {"late": "held > 0 AND now - since >= 10000000"},
@@ -313,7 +313,7 @@ add("batch_closes", f"SELECT shard, sequence, out_mine AS batch, out_before AS c
          "held2": "CASE WHEN late THEN 1 ELSE held + 1 END", "bytes2": "CASE WHEN late THEN size ELSE bytes + size END"},
         {"full_": "CASE WHEN held2 >= 32 THEN 'records' WHEN bytes2 >= 2500 THEN 'bytes' WHEN held2 >= target2 THEN 'target' END"},
     ],
-    {"held": "CASE WHEN full_ IS NULL THEN held2 ELSE 0 END", "bytes": "CASE WHEN full_ IS NULL THEN bytes2 ELSE 0 END", "batch": "mine + (full_ IS NOT NULL)::BIGINT", "since": "since2", "target": "target2"},
+    {"held": "CASE WHEN full_ IS NULL THEN held2 ELSE 0 END", "bytes": "CASE WHEN full_ IS NULL THEN bytes2 ELSE 0 END", "batch": "mine + (full_ IS NOT NULL)::BIGINT", "since": "since2", "target": "CASE WHEN full_ = 'target' AND waiting > held2 THEN least(32, waiting) ELSE target2 END"},
     {"mine": "BIGINT", "before": "VARCHAR", "full_": "VARCHAR"},
 ))
 add("latency_guard", f"SELECT shard, sequence AS look, out_verdict AS verdict {FR.format(k='shard')}", EV, SH, folded(

@@ -818,7 +818,7 @@ def quota_admission(spark, d):
 
 @query
 def batch_closes(spark, d):
-    s = _placed(spark, d).select("shard", "sequence", F.floor(F.col("commit_ns") / 40_000).alias("arrival"), F.col("size").alias("bytes"))
+    s = _placed(spark, d).select("shard", "sequence", F.floor(F.col("commit_ns") / 40_000).alias("arrival"), F.col("size").alias("bytes"), F.pmod(F.col("sequence") * 31, F.lit(41)).alias("waiting"))
     return X.batch_closes(s, 32, 2500, 10_000_000).select("shard", "sequence", "batch", "closed_before", "closed_by")
 
 
