@@ -112,6 +112,50 @@ def test_jaccard_filters_of_all_orders_lose_no_pair():
     assert links > 30 and stopped > 5000
 
 
+def test_jaccard_plans_stay_small(docs, monkeypatch):
+    """Each scan, shuffle and broadcast of a plan costs the driver buffers and threads, all at once."""
+    from tidelog.llm import shared
+
+    plans = {}
+    for module in (jaccard, shared):
+        def counted(df, name, write=module.table):
+            text = df._jdf.queryExecution().executedPlan().toString()
+            plans.setdefault(name, []).append((text.count("Scan parquet"), text.count("Exchange")))
+            return write(df, name)
+
+        monkeypatch.setattr(module, "table", counted)
+    jaccard.keep_one(docs).collect()
+    assert max(scans for of in plans.values() for scans, _ in of) <= 10, plans
+    assert max(moves for of in plans.values() for _, moves in of) <= 12, plans
+    # a table of links, then one of components, whatever the rounds
+    assert len(plans["cc"]) == len(plans["components"])
+
+
+def test_components_of_few_and_of_many_edges(spark, monkeypatch):
+    import random
+
+    from tidelog.llm import shared
+
+    rng = random.Random(3)
+    edges = [(-(10**12) + k, -(10**12) + k + 1) for k in range(200)]
+    edges += [(7, 10**15 + k) for k in range(300)] + [(k, k) for k in range(5)] + [(50 + rng.randrange(900), 50 + rng.randrange(900)) for _ in range(500)]
+    edges += [(b, a) for a, b in edges[::3]] + edges[::5]
+    lead = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(len(lead)):
+        before = dict(lead)
+        for a, b in edges:
+            if a != b:
+                lead[a] = lead[b] = min(lead[a], lead[b])
+        if lead == before:
+            break
+    df = spark.createDataFrame([*edges, (None, 3)], "a long, b long").repartition(5)
+    for few in (shared.FEW_EDGES, 0):
+        monkeypatch.setattr(shared, "FEW_EDGES", few)
+        got = [tuple(r) for r in shared.components(df).collect()]
+        assert dict(got) == lead and len(got) == len(lead)
+    assert shared.components(df.limit(0)).count() == 0
+
+
 def test_jaccard_keeps_rows_that_share_a_key_but_not_a_text(spark):
     import random
 

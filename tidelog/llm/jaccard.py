@@ -327,15 +327,17 @@ def cells(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     it, however many pairs. Groups of many pairs are salted by ``b``, PAIRS or so to a place.
     """
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("d")).join(sizes.withColumnRenamed("cls", "node"), "node")
+    # each step is written, as the next ones read it several times: in one plan the steps before would be planned and run again for every use
+    degree = table(both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("d")).join(sizes.withColumnRenamed("cls", "node"), "node"), "degree")
     near = both.join(degree.select(F.col("node").alias("b"), "d"), "b").groupBy(F.col("a").alias("node")).agg(F.max(F.struct("d", "b")).alias("top"))
     own = F.struct(F.col("d"), F.col("node").alias("b"))
-    found = degree.join(near, "node").select("node", "d", "n", F.greatest(own, "top")["b"].alias("root"))
+    found = table(degree.join(near, "node").select("node", "d", "n", F.greatest(own, "top")["b"].alias("root")), "roots")
     wide = found.groupBy("root").agg(F.ceil(F.sum("n") / CELL).alias("blocks"), F.ceil(F.sum("d") / PAIRS).alias("salts"))
-    at = found.join(wide, "root").select("node", F.xxhash64("root", F.pmod(F.xxhash64("node"), "blocks")).alias("unit"), "salts")
+    at = table(found.join(wide, "root").select("node", F.xxhash64("root", F.pmod(F.xxhash64("node"), "blocks")).alias("unit"), "salts"), "units")
     one, two = (at.select(F.col("node").alias(c), F.col("unit").alias(f"u{c}"), F.col("salts").alias(f"s{c}")) for c in ("a", "b"))
     salt = F.pmod(F.xxhash64("b"), F.greatest("sa", "sb"))
     made = table(pairs.join(one, "a").join(two, "b").select(F.least("ua", "ub").alias("i"), F.greatest("ua", "ub").alias("j"), salt.alias("salt"), "a", "b"), "cells")
+    discard(degree, found, at)
     return made
 
 

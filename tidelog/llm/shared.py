@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges (16 bytes each) up to which one task finds the components; more go through rounds over all executors.
+FEW_EDGES = 200_000
+
 
 def session(df: DataFrame) -> SparkSession:
     return df.sparkSession
@@ -67,18 +72,44 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def smallest_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges ``(a, b)`` and the smallest node that each reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        if (low == high).all():
+            return nodes, nodes[root]
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs): ``(node, root)``, root the smallest node reachable.
 
-    Alternating large-star and small-star rounds, each written to the shared folder. Every round leaves
+    Up to FEW_EDGES edges go to one task, as the plans of a round cost the driver more memory and time than these edges.
+    More of them take alternating large-star and small-star rounds, each written to the shared folder. Every round leaves
     at most as many edges as nodes touch, in O(log n) rounds, and a hub is a key that is pre-aggregated
     by ``min`` before the join, whose skewed side can be split. Nodes without an edge do not occur.
     """
     spark = edges.sparkSession
     e = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     e = table(e, "cc")
-    if e.isEmpty():
+    count = e.count()
+    if not count:
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if count <= FEW_EDGES:
+
+        def run(batches):
+            held = [tuple(batch.column(i).to_numpy() for i in (0, 1)) for batch in batches]
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in smallest_reachable(*(np.concatenate(x) for x in zip(*held, strict=True)))], ["node", "root"])
+
+        made = table(e.coalesce(1).mapInArrow(run, "node long, root long"), "components")
+        discard(e)
+        return made
     seen = None
     for _ in range(max_rounds):
         # large-star: each node sends its larger neighbours to the smallest of its neighbourhood
